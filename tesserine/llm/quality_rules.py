@@ -46,8 +46,8 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", high=0.1),
     Rule("shouts_per_word", "n_shouts", "n_words", high=0.2),
     Rule("stop_word_share", "n_stop_words", "n_words", low=0.04),
-    Rule("dup_line_share", "n_dup_lines", "n_lines", high=0.3),
-    Rule("repeat_word_share", "n_repeat_words", "n_words", high=0.3),
+    Rule("dup_line_share", "n_dup_lines", "n_lines", high=0.5),
+    Rule("repeat_word_share", "n_repeat_words", "n_words", high=0.4),
 )
 MIN_WORDS, REPEAT_WORDS, REPEAT_PERCENT = 50, 3, 50
 
