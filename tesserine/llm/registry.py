@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules
+from . import bpe, chat_format, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": bpe.op2_bpe,
+    "op4_packing": packing.op4_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op9_chat_format": chat_format.op9_chat_format,
 }
