@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, media_tiff, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import bpe, chat_format, jaccard_join, media_tiff, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_media_tiff": media_tiff.op7_media_tiff,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
 }
