@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, jaccard_join, media_tiff, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import bpe, chat_format, jaccard_join, line_dedup, media_tiff, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_packing": packing.op4_packing,
