@@ -120,8 +120,13 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns they came with."""
-    return quality_rules(docs.withColumn("__row", F.struct(*docs.columns))).where("kept").select("__row.*")
+    """The documents that the rules keep, with the columns they came with.
+
+    A generator drops the others: a filter would be pushed below the projection
+    and take a copy of every count with it.
+    """
+    judged = quality_rules(docs.withColumn("__row", F.struct(*docs.columns)))
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("__row")).otherwise(F.array())))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
