@@ -1 +1 @@
-
+"""N-dimensional array analytics as lazy Spark plans."""
