@@ -321,7 +321,7 @@ def gamma(a, *, where=None, out=None) -> Column:
 
     pole = (x <= 0) & (x == _floored(x))
     mirrored = _divided(F.lit(math.pi), F.sin(math.pi * x) * right(1 - x))
-    return masked(F.when(pole, F.lit(NAN)).when(x < 0.5, mirrored).when(x > 171.7, F.lit(INF)).otherwise(right(F.least(x, F.lit(171.7)))), where, out)
+    return masked(F.when(pole | _nan(x), F.lit(NAN)).when(x < 0.5, mirrored).when(x > 171.7, F.lit(INF)).otherwise(right(F.least(x, F.lit(171.7)))), where, out)
 
 
 def erf(a, *, where=None, out=None) -> Column:

@@ -1 +1 @@
-
+"""Array operators: reductions, scans, sorting, sets, contractions, transforms."""
