@@ -1 +1 @@
-
+"""Array files as Spark data sources: npy, npz and safetensors."""

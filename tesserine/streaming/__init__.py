@@ -1 +1 @@
-
+"""Structured Streaming: framed pitch tracking."""
