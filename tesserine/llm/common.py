@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -55,24 +54,26 @@ def _clear() -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    The lineage ends at the files, so a lost executor costs no earlier stage,
-    and the shuffle files below can go as soon as the JVM has let go of them.
+    The lineage ends at the files, so a lost executor costs no earlier stage.
+    Its shuffle files go as soon as it is written, so stages don't add up on disk.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserine-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, was)
     _written.append((spark, path))
-    schema = df.schema
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches small enough that a batch of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -10,11 +11,23 @@ import zstandard
 
 U = np.uint64
 #: Bytes of text that a kernel handles at once; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library: it keeps its own counsel
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that sits idle must not hold a kernel's peak."""
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the splitmix64 finaliser)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -116,6 +129,10 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[slice]:
         held += len(t) + 1
     if start < len(texts):
         yield slice(start, len(texts))
+    release()
+
+
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -127,13 +144,13 @@ def pack(*columns: np.ndarray) -> bytes:
         if c.dtype.kind == "i":
             c = np.diff(c, prepend=c.dtype.type(0))
         planes.append(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T).tobytes())
-    return b"".join(out) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return b"".join(out) + _PACK.compress(b"".join(planes))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     k, n = blob[0], int.from_bytes(blob[1:5], "little")
     kinds = [np.dtype(blob[5 + 2 * i : 7 + 2 * i].decode()) for i in range(k)]
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[5 + 2 * k :]), np.uint8)
+    raw = np.frombuffer(_UNPACK.decompress(blob[5 + 2 * k :]), np.uint8)
     out, at = [], 0
     for kind in kinds:
         size = n * kind.itemsize
@@ -145,6 +162,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 def joined(blobs, empty: tuple[str, ...]) -> list[np.ndarray]:
     """The columns of several packs, one after the other."""
+    release()
     parts = [unpack(bytes(b)) for b in blobs]
     return [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, k) for k in empty]
 
