@@ -139,7 +139,7 @@ def per_matrix(a: SparkArray, f: Callable[..., list[np.ndarray]], shapes: list[t
         return pd.DataFrame(out, columns=[*lead, "k", "at", "v"])
 
     schema = "".join(f"{c} bigint, " for c in lead) + f"k int, at array<bigint>, v {COMPLEX}"
-    done = stack.groupBy(*lead).applyInPandas(run, schema) if lead else stack.groupBy(F.lit(0)).applyInPandas(run, schema)
+    done = stack.withColumn("__one", F.lit(0)).groupBy("__one", *lead).applyInPandas(run, schema)
     results = []
     for k, s in enumerate(shapes):
         full = (*a.shape[: len(lead)], *s)

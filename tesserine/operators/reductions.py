@@ -273,9 +273,10 @@ def quantile(df: DataFrame, value: str, q: float, method: str = "linear", by: tu
     low = F.least(F.greatest(j, F.lit(0)), F.col("n") - 1)
     high = F.least(F.greatest(j + 1, F.lit(0)), F.col("n") - 1)
     at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("x")))
-    spots = ranked.withColumns({"low": low, "high": high, "g": g})
-    out = spots.groupBy(*by).agg(at(F.col("low")).alias("a"), at(F.col("high")).alias("b"), F.first("g").alias("g"), F.first("bad").alias("bad"))
-    return out.select(*by, F.when(F.col("bad"), F.lit(NAN)).otherwise(F.when(F.col("g") == 0, F.col("a")).otherwise(F.col("a") * (1 - F.col("g")) + F.col("b") * F.col("g"))).alias("v"))
+    spots = ranked.withColumns({"__low": low, "__high": high, "__g": g})
+    out = spots.groupBy(*by).agg(at(F.col("__low")).alias("__a"), at(F.col("__high")).alias("__b"), F.first("__g").alias("__w"), F.first("bad").alias("__bad"))
+    between = F.when(F.col("__w") == 0, F.col("__a")).otherwise(F.col("__a") * (1 - F.col("__w")) + F.col("__b") * F.col("__w"))
+    return out.select(*by, F.when(F.col("__bad"), F.lit(NAN)).otherwise(between).alias("v"))
 
 
 def quantile_array(a: SparkArray, q: float, axis=None, method: str = "linear", keepdims: bool = False) -> SparkArray:
