@@ -143,11 +143,12 @@ def _by_doc(blobs) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {int(doc[order[a]]): (kind[order[a:b]], place[order[a:b]]) for a, b in zip(cut[:-1], cut[1:])}
 
 
-def deep_shallow(digits: np.ndarray, at: np.ndarray, group: np.ndarray, length: int, shallow: int = SHALLOW) -> list[np.ndarray]:
-    """Members of each set of equal strings of ``length`` bytes, two or more, within each group.
+def deep_shallow(digits: np.ndarray, at: np.ndarray, group: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """The strings that some other string of their group equals, and the leaf that each ends in.
 
     ``digits`` holds the eight bytes at every place of the buffer, ``at`` where
-    the strings start. The length is a multiple of eight.
+    the strings of ``length`` bytes start. Strings whose digits set them apart
+    leave the sort as soon as they stand alone.
     """
     live, cls = np.arange(len(at)), group
 
@@ -159,30 +160,67 @@ def deep_shallow(digits: np.ndarray, at: np.ndarray, group: np.ndarray, length:
         keep = np.repeat(size > 1, size)
         return live[keep], np.repeat(np.arange(len(size)), size)[keep]
 
-    for depth in range(0, min(shallow, length), 8):  # multikey quicksort on eight-byte digits
-        if not len(live):
-            return []
+    depths = [*range(0, length - 7, 8)] + ([length - 8] if length % 8 else [])  # the last digit may overlap
+    for depth in [d for d in depths if d < shallow]:  # multikey quicksort on eight-byte digits
         live, cls = refined(live, cls, digits[at[live] + depth])
-    done: list[np.ndarray] = []
-    columns = np.arange(shallow, length, 8)
-    while len(live):  # one level of every blind trie at a time
+    columns = np.array([d for d in depths if d >= shallow], np.int64)
+    ended, leaf, leaves = [], [], 0
+    while len(live):  # one level of every blind trie at a time: a node knows its branching place only
         cut = runs(cls)
         size = np.diff(cut)
         rest = digits[at[live][:, None] + columns]
         differs = np.logical_or.reduceat(rest != np.repeat(rest[cut[:-1]], size, axis=0), cut[:-1], axis=0)
         branches = differs.any(axis=1)
-        for k in np.flatnonzero(~branches):
-            done.append(live[cut[k] : cut[k + 1]])
         keep = np.repeat(branches, size)
+        ended.append(live[~keep])
+        leaf.append(np.repeat(np.arange(len(size)), size)[~keep] + leaves)
+        leaves += len(size)
         place = np.repeat(differs.argmax(axis=1), size)[keep]
         live, cls = refined(live[keep], cls[keep], rest[keep, place])
-    return done
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *ended]), np.concatenate([none, *leaf])
+
+
+def repeated_offsets(digits, anchor, group, o_lo, o_hi, open_, length: int, gram: int):
+    """(context, first offset, last offset) of stretches of open contexts that another context of the group has.
+
+    A stretch at offset o starts o bytes before the anchor. A range of offsets
+    is settled by two sorts: stretches of the range share the bytes in its
+    middle, so a context whose middle stands alone has none of them twice; and
+    one whose whole hull another has, has all of them twice. Else the range is
+    halved; at a single offset both are the stretch itself.
+    """
+    out = []
+    todo = [(0, length - gram, np.arange(len(anchor)), group, open_)]
+    while todo:
+        a, b, m, g, want = todo.pop()
+        ok = (o_lo[m] <= b) & (o_hi[m] >= a)
+        m, g, want = m[ok], g[ok], want[ok]
+        live, cls = deep_shallow(digits, anchor[m] - a, g, length - (b - a))
+        m, want = m[live], want[live]
+        if a < b:
+            full = np.flatnonzero((o_lo[m] <= a) & (o_hi[m] >= b))
+            hull, _ = deep_shallow(digits, anchor[m[full]] - b, cls[full], length + b - a)
+            whole = np.zeros(len(m), bool)
+            whole[full[hull]] = True
+        else:
+            whole = np.ones(len(m), bool)
+        hit = m[whole & want]
+        if len(hit):
+            out.append((hit, a, b))
+        want = want & ~whole
+        if a < b and want.any():
+            order = np.argsort(cls, kind="stable")
+            cut = runs(cls[order])
+            some = np.repeat(np.logical_or.reduceat(want[order], cut[:-1]), np.diff(cut))
+            keep = order[some]
+            mid = (a + b) // 2
+            todo += [(a, mid, m[keep], cls[keep], want[keep]), (mid + 1, b, m[keep], cls[keep], want[keep])]
+    return out
 
 
 def sorted_contexts(docs: DataFrame, classes: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Places of stretches that also start elsewhere, by sorting the contexts of anchors with several."""
-    span = length - gram
-
     def cut_out(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         by, rows = _by_doc(right["blob"]), []
         left = left[[int(d) in by and bool((by[int(d)][0] & 3).any()) for d in left["doc"]]]
@@ -244,16 +282,11 @@ def sorted_contexts(docs: DataFrame, classes: DataFrame, buckets: int, length: i
             text = np.concatenate([body[a : a + n] for a, n in zip(begin[k].tolist(), size[k].tolist())] + [np.zeros(8, np.uint8)])
             base = np.cumsum(size[k]) - size[k]
             digits = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)).view(">u8").ravel().astype(U)
-            for o in range(span + 1):
-                m = np.flatnonzero((o_lo[k] <= o) & (o <= o_hi[k]))
-                if len(m) < 2:
-                    continue
-                for same in deep_shallow(digits, base[m] + o_hi[k[m]] - o, group_of[m], length):
-                    hit = k[m[same]]
-                    hit = hit[known[hit] == 0]  # the others are settled already
-                    out_own.append(own[hit])
-                    out_doc.append(doc[hit])
-                    out_place.append(place[hit] - np.int32(o))
+            for m, a, b in repeated_offsets(digits, base + o_hi[k], group_of, o_lo[k], o_hi[k], known[k] == 0, length, gram):
+                hit = np.repeat(k[m], b - a + 1)
+                out_own.append(own[hit])
+                out_doc.append(doc[hit])
+                out_place.append(place[hit] - np.tile(np.arange(a, b + 1, dtype=np.int32), len(m)))
             lo = hi
         if not out_own:
             return pd.DataFrame([], columns=["own", "blob"])
