@@ -164,6 +164,8 @@ def deep_shallow(digits: np.ndarray, at: np.ndarray, group: np.ndarray, length:
     for depth in [d for d in depths if d < shallow]:  # multikey quicksort on eight-byte digits
         live, cls = refined(live, cls, digits[at[live] + depth])
     columns = np.array([d for d in depths if d >= shallow], np.int64)
+    if not len(columns):
+        return live, cls
     ended, leaf, leaves = [], [], 0
     while len(live):  # one level of every blind trie at a time: a node knows its branching place only
         cut = runs(cls)
