@@ -358,4 +358,5 @@ def irr(rows: DataFrame, flows: str, out: str = "irr") -> DataFrame:
     def run(c: pd.Series) -> pd.Series:
         return c.map(one)
 
-    return rows.withColumn(out, run(flows))
+    # Arrow takes the NaN of a frame for null
+    return rows.withColumn(out, F.when(F.col(flows).isNotNull(), F.coalesce(run(flows), F.lit(math.nan))))

@@ -40,9 +40,9 @@ def scan(df: DataFrame, value: str, out: str, kind: str, pos: str = "pos", by: t
         return df.withColumn("__block", F.lit(0)).withColumn(out, agg(value).over(order)).drop("__block")
     cut = df.withColumn("__block", F.floor(F.col(pos) / BLOCK))
     local = cut.withColumn("__local", agg(value).over(order))
-    totals = cut.groupBy(*by, "__block").agg(agg(value).alias("__total"))
-    before = scan(totals, "__total", "__upto", kind, "__block", by, -(-length // BLOCK)) if length > BLOCK else totals
-    before = before.select(*by, (F.col("__block") + 1).alias("__block"), "__upto")
+    totals = cut.groupBy(*by, F.col("__block").alias("__outer")).agg(agg(value).alias("__total"))
+    before = scan(totals, "__total", "__sum", kind, "__outer", by, -(-length // BLOCK))
+    before = before.select(*by, (F.col("__outer") + 1).alias("__block"), F.col("__sum").alias("__upto"))
     both = local.join(before, [*by, "__block"], "left")
     return both.withColumn(out, F.when(F.col("__upto").isNull(), F.col("__local")).otherwise(meet(F.col("__upto"), F.col("__local")))).drop(
         "__block", "__local", "__upto"
