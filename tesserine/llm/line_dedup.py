@@ -4,10 +4,10 @@ A line's tokens are its words; a token with a digit is a variable field from
 the start. The tree branches by token count and then by the ``LEAD`` leading
 tokens. In a leaf, lines join in order of first occurrence (doc_id, line) the
 template that equals them in most places, if that is at least ``PERCENT`` per
-cent of the tokens, and fields that differ become variable; other lines found
-templates of their own. A template that two documents or more use recurs: all
+cent of the tokens, variable ones included, and in half of them word for word;
+fields that differ become variable. Other lines found templates of their own. A template that two documents or more use recurs: all
 its lines go but its first occurrence. Lines of fewer than ``LEAST`` tokens
-are left alone.
+and lines that are mostly variable, as rows of numbers are, are left alone.
 
 Most leaves hold one line and need no text: lines first meet as hashes of leaf
 and line, bucketed, and a task sends one entry for a line that it holds many
@@ -65,7 +65,7 @@ class Leaf:
         if self.used:
             same = ((known == codes) & (known != WILD)).sum(axis=1)
             wild = (known == WILD).sum(axis=1)
-            fits = 100 * (same + wild) >= PERCENT * len(codes)
+            fits = (100 * (same + wild) >= PERCENT * len(codes)) & (2 * same >= len(codes))
             if fits.any():
                 best = int(np.where(fits, same, -1).argmax())
                 known[best][known[best] != codes] = WILD
@@ -80,7 +80,7 @@ class Leaf:
 def _lines(raw: bytes):
     """(line number, tokens) of the lines that are long enough."""
     for i, line in enumerate(raw.split(b"\n")):
-        if len(line) >= 2 * LEAST - 1 and len(t := tokens_of(line)) >= LEAST:
+        if len(line) >= 2 * LEAST - 1 and len(t := tokens_of(line)) >= LEAST and 2 * t.count(FIELD) <= len(t):
             yield i, t
 
 

@@ -11,7 +11,7 @@ def line_dedup(docs: dict[int, str | None]) -> dict[int, tuple[int, int, str]]:
     for d in sorted(docs):
         for i, line in enumerate((docs[d] or "").split("\n")):
             words = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0d]+", line)]
-            if len(words) < 5:
+            if len(words) < 5 or 2 * words.count("<*>") > len(words):
                 continue
             group = leaves[len(words), *words[:4]]
             exact = next((g for g in group if tuple(words) in g[2]), None)
@@ -20,7 +20,7 @@ def line_dedup(docs: dict[int, str | None]) -> dict[int, tuple[int, int, str]]:
                 for g in group:
                     same = sum(a == b and a != "<*>" for a, b in zip(g[0], words))
                     wild = sum(a == "<*>" for a in g[0])
-                    if 100 * (same + wild) >= 80 * len(words) and same > most:
+                    if 100 * (same + wild) >= 80 * len(words) and 2 * same >= len(words) and same > most:
                         best, most = g, same
                 if best is None:
                     best = [list(words), [], set()]

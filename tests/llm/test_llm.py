@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesserine.llm import bpe, chat_format, jaccard_join, line_dedup, packing, quality_rules, registry, substring_dedup, suffix_dedup, toxicity, vectors
 
-V = [f"w{i}" for i in range(80)]
+V = [f"w{i}" if i % 9 == 0 else "abcdefgh"[i % 8] * (1 + i // 8) for i in range(80)]
 
 
 def varied(seed: int, n: int = 120) -> dict:
@@ -221,7 +221,7 @@ def test_toxicity(spark):
     r = random.Random(2)
     docs, labels = [], []
     for i in range(600):
-        w, bad = [r.choice(V[:60]).replace("w", "w" + "abcdefghij"[i % 10]) for _ in range(60)], i % 6 == 0
+        w, bad = [r.choice(V[:60]) + "abcdefghij"[i % 10] for _ in range(60)], i % 6 == 0
         if bad:
             w[r.randrange(40)] = w[r.randrange(40)] = r.choice(("vile", "foul"))
         docs.append((i, " ".join(w)))
@@ -247,7 +247,7 @@ def test_pipeline(spark, tmp_path):
     from tesserine.llm.common import materialize
 
     r = random.Random(9)
-    clean = {i: "\n".join(" ".join(r.choice(["the", "of", "and", "in"] * 2 + [f"u{i}x{k}" for k in range(40)]) for _ in range(30)) for _ in range(4)) for i in range(30)}
+    clean = {i: "\n".join(" ".join(r.choice(["the", "of", "and", "in"] * 2 + ["q" + "abcdefghij"[i % 10] * (1 + i // 10) + "klmnopqrst"[k % 10] * (1 + k // 10) for k in range(40)]) for _ in range(30)) for _ in range(4)) for i in range(30)}
     rows = {**clean, 100: clean[0], 101: clean[1].replace("the", "of", 1), 102: "### " * 100, 103: None, 104: clean[2] + "\n" + clean[3].split("\n")[0]}
     spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
