@@ -31,6 +31,7 @@ FUNCTIONS: dict[str, tuple[Callable, Callable | None, Callable | None]] = {
     "csc": (ufuncs.csc, lambda x: 1 / math.sin(x), lambda x: -csc(x) * cot(x)), "sec": (ufuncs.sec, lambda x: 1 / math.cos(x), lambda x: sec(x) * tan(x)),
     "cot": (ufuncs.cot, lambda x: 1 / math.tan(x), lambda x: -(csc(x) ** 2)), "erf": (ufuncs.erf, math.erf, lambda x: 2 / sqrt(Expr.real(math.pi)) * exp(-(x**2))),
     "erfc": (ufuncs.erfc, math.erfc, lambda x: -2 / sqrt(Expr.real(math.pi)) * exp(-(x**2))), "gamma": (ufuncs.gamma, math.gamma, None),
+    "lambertw": (ufuncs.lambertw, None, lambda x: call("lambertw", x) / (x * (1 + call("lambertw", x)))), "zeta": (ufuncs.zeta, None, None),
 }
 
 

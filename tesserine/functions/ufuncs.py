@@ -343,6 +343,39 @@ def erfc(a, *, where=None, out=None) -> Column:
     return masked(1 - erf(a), where, out)
 
 
+def lambertw(a, *, where=None, out=None) -> Column:
+    """The principal branch of w exp(w) = x by Halley's steps; NaN below -1/e."""
+    x = col(a).cast("double")
+    near = F.sqrt(F.greatest(2 * (math.e * x + 1), F.lit(0.0)))
+    start = F.when(x < 0, -1 + near - near * near / 3).when(x < 3, F.log1p(F.greatest(x, F.lit(0.0))) * 0.8).otherwise(F.ln(F.greatest(x, F.lit(1.1))) - F.ln(F.ln(F.greatest(x, F.lit(3.0)))))
+
+    def step(w: Column, _: Column) -> Column:
+        f = w * F.exp(w) - x
+        d = F.exp(w) * (w + 1) - (w + 2) * f / F.when(w == -1, F.lit(1.0)).otherwise(2 * w + 2)
+        return F.when(d == 0, w).otherwise(w - f / F.when(d != 0, d))
+
+    w = F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step)
+    return masked(F.when(_nan(x) | (x < -1 / math.e - 1e-15), F.lit(NAN)).when(x == INF, x).otherwise(w), where, out)
+
+
+def zeta(a, *, where=None, out=None) -> Column:
+    """Riemann's zeta function right of 1, by Euler and Maclaurin from the twelfth term; NaN left of it."""
+    s, n = col(a).cast("double"), 12.0
+    p = lambda k, e: F.pow(F.lit(float(k)), -e)
+    head = fold(lambda t, k: t + p(k, s), range(2, 12), F.lit(1.0))
+    tail = p(n, s - 1) / (s - 1) + p(n, s) / 2 + s * p(n, s + 1) / 12 - s * (s + 1) * (s + 2) * p(n, s + 3) / 720 + s * (s + 1) * (s + 2) * (s + 3) * (s + 4) * p(n, s + 5) / 30240
+    return masked(F.when(s == 1, F.lit(INF)).when(s > 1, head + tail).otherwise(F.lit(NAN)), where, out)
+
+
+def kronecker_delta(a, b, *, where=None, out=None) -> Column:
+    return masked(F.when(col(a) == col(b), 1.0).otherwise(0.0), where, out)
+
+
+def npv(rate, values, period) -> Column:
+    """Net present value of a group: an aggregate over values at whole periods."""
+    return F.sum(col(values).cast("double") / F.pow(1 + col(rate).cast("double"), col(period)))
+
+
 # complex numbers: struct<re, im>
 def complex(re, im=0.0) -> Column:
     return F.struct(col(re).cast("double").alias("re"), col(im).cast("double").alias("im"))

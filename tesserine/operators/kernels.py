@@ -52,6 +52,24 @@ def along_rows(a: SparkArray, f: Callable[[np.ndarray], np.ndarray], width: int,
     return SparkArray(cells, (*a.shape[:-1], width), "complex128" if out_complex else "float64")
 
 
+#: Running operators without a block scan, by numpy's accumulate.
+ACCUMULATE = {
+    "logaddexp": np.logaddexp, "logaddexp2": np.logaddexp2, "fmin": np.fmin, "fmax": np.fmax, "logicalAnd": np.logical_and, "logicalOr": np.logical_or, "logicalXor": np.logical_xor,
+    "gcd": np.gcd, "lcm": np.lcm, "bitwiseAnd": np.bitwise_and, "bitwiseOr": np.bitwise_or, "bitwiseXor": np.bitwise_xor,
+}
+
+
+def accumulate(a: SparkArray, op: str, axis: int = 0) -> SparkArray:
+    """The inclusive scan of a reducible operator along an axis."""
+    from .scans import cumulative
+
+    simple = {"add": "sum", "multiply": "prod", "minimum": "min", "maximum": "max"}.get(op)
+    if simple:
+        return cumulative(a, simple, axis)
+    f, whole = ACCUMULATE[op], op in ("gcd", "lcm", "bitwiseAnd", "bitwiseOr", "bitwiseXor")
+    return along_rows(a, lambda x: f.accumulate(x.astype(np.int64) if whole else x, axis=1).astype(float), a.shape[axis], False, axis)
+
+
 def fft(a: SparkArray, n: int | None = None, axis: int = -1, ortho: bool = False) -> SparkArray:
     n = n or a.shape[axis]
     return along_rows(a, lambda x: np.fft.fft(x, n, norm="ortho" if ortho else None), n, True, axis)
@@ -269,6 +287,16 @@ def lu(a):
     return tuple(per_matrix(a, lambda m: list(_lu(m)), [(n, n)] * 3))
 
 
+def lu_solve(factors, b):
+    """x of a x = b from the factors of ``lu``."""
+    p, low, up = factors
+
+    def one(m, lower, upper, y):
+        return [np.linalg.solve(upper, np.linalg.solve(lower, m.T @ y))]
+
+    return per_matrix(p, _checked(one), [b.shape[p.rank - 2 :]], [low, up, b])[0]
+
+
 def _hessenberg(m):
     h, n = m.astype(complex if np.iscomplexobj(m) else float).copy(), len(m)
     q = np.eye(n, dtype=h.dtype)

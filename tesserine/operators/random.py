@@ -16,6 +16,17 @@ from .ordering import global_rank
 from .shaping import grid
 
 
+def philox4x32(counter: tuple[int, int, int, int], key: tuple[int, int], rounds: int = 10) -> tuple[int, int, int, int]:
+    """A block of the counter-based generator of Salmon and others (2011)."""
+    a, b, c, d = counter
+    k0, k1 = key
+    for _ in range(rounds):
+        x, y = 0xD2511F53 * a, 0xCD9E8D57 * c
+        a, b, c, d = y >> 32 ^ b ^ k0, y & 0xFFFFFFFF, x >> 32 ^ d ^ k1, x & 0xFFFFFFFF
+        k0, k1 = k0 + 0x9E3779B9 & 0xFFFFFFFF, k1 + 0xBB67AE85 & 0xFFFFFFFF
+    return a, b, c, d
+
+
 def unit(seed: int, at: Column, draw: int = 0) -> Column:
     """A number in [0, 1) of 53 bits, from a hash of seed, position and draw."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), at, F.lit(draw)), 11) * 2.0**-53

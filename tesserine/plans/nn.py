@@ -90,6 +90,38 @@ def attention(q: SparkArray, k: SparkArray, v: SparkArray, mask: SparkArray | No
     return contractions.einsum(f"{lead}qk,{lead}kd->{lead}qd", softmax(s), v)
 
 
+def multihead(q: SparkArray, k: SparkArray, v: SparkArray, weights: dict[str, SparkArray], heads: int, causal: bool = False) -> SparkArray:
+    """Rows by width; weights q, k, v and o of width by width."""
+    width = q.shape[-1]
+
+    def cut(x: SparkArray, name: str) -> SparkArray:
+        return linear(x, weights[name]).reshape(x.shape[0], heads, width // heads).swapaxes(0, 1)
+
+    joined = attention(cut(q, "q"), cut(k, "k"), cut(v, "v"), causal=causal).swapaxes(0, 1).reshape(q.shape[0], width)
+    return linear(joined, weights["o"])
+
+
+def _plus(x: SparkArray, f: Callable[[SparkArray], SparkArray], norm: tuple[SparkArray, SparkArray], first: bool) -> SparkArray:
+    return x + f(layer_norm(x, *norm)) if first else layer_norm(x + f(x), *norm)
+
+
+def encoder_layer(x: SparkArray, p: dict, heads: int, norm_first: bool = True) -> SparkArray:
+    """Attention and a gelu layer, each with its sum and norm; p holds self, norm1, norm2, w1 and w2."""
+    x = _plus(x, lambda y: multihead(y, y, y, p["self"], heads), p["norm1"], norm_first)
+    return _plus(x, lambda y: linear(linear(y, p["w1"]).map(ufuncs.gelu), p["w2"]), p["norm2"], norm_first)
+
+
+def decoder_layer(x: SparkArray, memory: SparkArray, p: dict, heads: int, norm_first: bool = True) -> SparkArray:
+    """Causal attention, attention to the memory and a gelu layer; p holds cross and norm3 too."""
+    x = _plus(x, lambda y: multihead(y, y, y, p["self"], heads, True), p["norm1"], norm_first)
+    x = _plus(x, lambda y: multihead(y, memory, memory, p["cross"], heads), p["norm2"], norm_first)
+    return _plus(x, lambda y: linear(linear(y, p["w1"]).map(ufuncs.gelu), p["w2"]), p["norm3"], norm_first)
+
+
+def geglu(x: SparkArray, w1: SparkArray, w2: SparkArray, w3: SparkArray) -> SparkArray:
+    return swiglu(x, w1, w2, w3, ufuncs.gelu)
+
+
 def swiglu(x: SparkArray, w1: SparkArray, w2: SparkArray, w3: SparkArray, gate: Callable = ufuncs.silu) -> SparkArray:
     return linear(linear(x, w1).map(gate) * linear(x, w2), w3)
 

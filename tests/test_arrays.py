@@ -92,7 +92,7 @@ def test_put(a):
     (lambda x: red.cov(x), np.cov), (lambda x: red.corrcoef(x), np.corrcoef), (lambda x: red.norm(x, 1, 0), lambda x: np.linalg.norm(x, 1, 0)), (lambda x: red.norm(x, math.inf), lambda x: np.linalg.norm(x, math.inf)), (lambda x: red.norm(x, 2), lambda x: np.linalg.norm(x, 2)), (lambda x: red.reduce(x, "logaddexp", 0), lambda x: np.logaddexp.reduce(x, 0)),
     (lambda x: con.matmul(x, x.transpose()), lambda x: x @ x.T), (lambda x: con.einsum("ij,kj->ik", x, x), lambda x: x @ x.T), (lambda x: con.einsum("ij->", x), lambda x: x.sum()), (lambda x: con.kron(x[:2, :2], x[:, :2]), lambda x: np.kron(x[:2, :2], x[:, :2])), (lambda x: con.outer(x[0], x[1], "add"), lambda x: np.add.outer(x[0], x[1])), (lambda x: con.vdot(x, x), lambda x: np.vdot(x, x)),
     (lambda x: con.inner(x, x), lambda x: np.inner(x, x)), (lambda x: con.cross(x[:, :3], x[:, 3:]), lambda x: np.cross(x[:, :3], x[:, 3:])), (lambda x: con.multi_dot([x, x.transpose(), x]), lambda x: np.linalg.multi_dot([x, x.T, x])), (lambda x: con.matrix_power(x[:, :4], -2), lambda x: np.linalg.matrix_power(x[:, :4], -2)), (lambda x: con.convolve(x[0], x[1]), lambda x: np.convolve(x[0], x[1])), (lambda x: con.convolve(x[0], x[1, :3], "same"), lambda x: np.convolve(x[0], x[1, :3], "same")), (lambda x: con.correlate(x[0], x[1, :3]), lambda x: np.correlate(x[0], x[1, :3])),
-    (lambda x: ker.fft(x), np.fft.fft), (lambda x: ker.ifft(ker.fft(x)), lambda x: x), (lambda x: ker.rfft(x, 8), lambda x: np.fft.rfft(x, 8)), (lambda x: ker.irfft(ker.rfft(x)), lambda x: x), (lambda x: ker.fft2(x), np.fft.fft2), (lambda x: ker.ifftshift(ker.fftshift(x)), lambda x: x), (lambda x: ker.fft(x, None, 0), lambda x: np.fft.fft(x, axis=0)),
+    (lambda x: ker.accumulate(x, "logaddexp", 1), lambda x: np.logaddexp.accumulate(x, 1)), (lambda x: ker.lu_solve(ker.lu(x[:, :4]), x[:, 4:]), lambda x: np.linalg.solve(x[:, :4], x[:, 4:])), (lambda x: ker.fft(x), np.fft.fft), (lambda x: ker.ifft(ker.fft(x)), lambda x: x), (lambda x: ker.rfft(x, 8), lambda x: np.fft.rfft(x, 8)), (lambda x: ker.irfft(ker.rfft(x)), lambda x: x), (lambda x: ker.fft2(x), np.fft.fft2), (lambda x: ker.ifftshift(ker.fftshift(x)), lambda x: x), (lambda x: ker.fft(x, None, 0), lambda x: np.fft.fft(x, axis=0)),
     (lambda x: ker.inv(x[:, :4]), lambda x: np.linalg.inv(x[:, :4])), (lambda x: ker.det(x[:, :4]), lambda x: np.linalg.det(x[:, :4])), (lambda x: ker.solve(x[:, :4], x[:, 4:]), lambda x: np.linalg.solve(x[:, :4], x[:, 4:])), (lambda x: ker.pinv(x), np.linalg.pinv), (lambda x: ker.singular_values(x), lambda x: np.linalg.svd(x, compute_uv=False)),
 ])
 def test_against_numpy(a, f, g):

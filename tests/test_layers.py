@@ -111,3 +111,30 @@ def test_tuner(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.note for r in spark.table("notes").collect()) == ["--", "A2", "A2", "E4"]
+
+
+def test_blocks(spark):
+    eye, norm = SparkArray.of(spark, np.eye(4)), (SparkArray.of(spark, np.ones(4)), SparkArray.of(spark, np.zeros(4)))
+    x = R.normal(size=(3, 4))
+    a, w = SparkArray.of(spark, x), dict.fromkeys("qkvo", eye)
+    want = np.concatenate([(lambda h: (lambda e: e / e.sum(1, keepdims=True))(np.exp(h @ h.T / 2**0.5)) @ h)(x[:, k : k + 2]) for k in (0, 2)], 1)
+    assert np.allclose(nn.multihead(a, a, a, w, 2).numpy(), want)
+    p = {"self": w, "cross": w, "norm1": norm, "norm2": norm, "norm3": norm, "w1": eye, "w2": eye}
+    y = nn.encoder_layer(a, p, 2).numpy()
+    assert y.shape == (3, 4) and np.isfinite(y).all() and nn.decoder_layer(a, a, p, 2, False).shape == (3, 4)
+
+
+def test_special(spark):
+    from tesserine.functions import ufuncs
+
+    rows = spark.createDataFrame([(v,) for v in (-0.3, 0.0, 0.5, 1.0, 2.0, 10.0, 1e6)], "x double").select("x", ufuncs.lambertw("x").alias("w"), ufuncs.zeta("x").alias("z")).collect()
+    for r in rows:
+        assert math.isclose(r.w * math.exp(r.w), r.x, rel_tol=1e-9, abs_tol=1e-12)
+    assert math.isclose(rows[4].z, math.pi**2 / 6, rel_tol=1e-9) and rows[3].z == math.inf
+
+
+def test_philox():
+    from tesserine.operators.random import philox4x32
+
+    # A published known answer
+    assert philox4x32((0, 0, 0, 0), (0, 0)) == (0x6627E8D5, 0xE169C58D, 0xBC57AC4C, 0x9B00DBD8)
