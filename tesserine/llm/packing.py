@@ -134,13 +134,15 @@ def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            rows = []
-            for doc, ids in zip(f["doc_id"], bpe(path).encode(list(f["text"]))):
-                ids = np.append(ids.astype("<u4"), np.uint32(END_ID)).astype("<u4")
-                for s in range(0, len(ids), window):
-                    part = ids[s : s + window]
-                    rows.append((doc, s, len(part), zlib.crc32(part.tobytes()), len(ids)))
-            got = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            rows, row = [], []
+            for k, ids in enumerate(bpe(path).encode(list(f["text"]))):
+                n, data = len(ids) + 1, ids.astype("<u4").tobytes() + END_ID.to_bytes(4, "little")
+                for s in range(0, n, window):
+                    part = data[4 * s : 4 * (s + window)]
+                    rows.append((s, len(part) // 4, zlib.crc32(part), n))
+                    row.append(k)
+            got = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens"])
+            got.insert(0, "doc_id", f["doc_id"].astype("Int64").to_numpy()[row] if len(row) else [])
             got["doc_id"] = got["doc_id"].astype("Int64")
             yield got
 
@@ -151,7 +153,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     """The pieces of ``docs`` with sequence_id and offset."""
     path = path or default_path()
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1024)  # the more texts at once, the fewer words are looked up twice
     salts = parts(spark)
     pieces = materialize(cut(docs, path, window).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")))
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
