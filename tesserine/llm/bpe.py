@@ -1,9 +1,10 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Words are split in Spark. The frequent ones, at most ``FREQUENT`` by a count
+Words are split in Spark, into runs of letters, digits or signs where those
+are plain. The frequent ones, at most ``FREQUENT`` by a count
 over all documents, are encoded once each and broadcast; every other distinct
 word is encoded once where its occurrences meet, and its ids join back to the
-documents by position. Decoding joins each id with the tokenizer's piece table,
+documents by position among their rare words. Decoding joins each id with the tokenizer's piece table,
 whose size is the vocabulary's.
 
 Defined cases: a null text is empty, an empty text has no ids; repeated rows
@@ -15,8 +16,11 @@ become its special ids, as the tokenizers library does by default.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
+import json
+import re
 import unicodedata
 from collections import Counter
 
@@ -30,10 +34,10 @@ from .common import materialize, small_batches, table, text_or_empty
 
 #: Words that are broadcast; with their ids some 20 MB.
 FREQUENT = 1 << 18
-#: Distinct words that a task holds before it hands them on.
-HELD = 200_000
-#: Stands in the stream of ids where a rare word's ids go.
-HOLE = 0xFFFF
+#: Distinct words that a task holds before it hands them on, and that a process remembers, twice over.
+HELD, REMEMBERED = 400_000, 700_000
+#: Words in signs and letters whose parts a task keeps.
+LOOKED_UP = 150_000
 
 
 def default_path() -> str:
@@ -42,54 +46,87 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Separates words for str.split but is no white space to the tokenizer.
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+#: Latin letters, ASCII digits and signs without a quote or angle bracket: there the tokenizer's own cut is this one.
+PLAIN = re.compile("[!-&(-;=?-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+RUNS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+#: Starts the word that stands for a control string: no other word has an upper-case letter.
+MARK = "S"
+
+
 class WordBpe:
-    """A tokenizer whose words are encoded independently of each other."""
+    """A tokenizer whose words, the runs without white space, are encoded independently of each other."""
 
     def __init__(self, path: str):
-        import json
-
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.word = regex.compile(pattern)
-        size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.pieces = [self.tok.id_to_token(i) or "" for i in range(size)]
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.pieces = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.rules = self.tok.normalizer
+        self.tok.normalizer = normalizers.Sequence([])  # words come normalised
+        self.tok.encode_special_tokens = True  # control strings are cut out before lower-casing, not after
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
         if "Σ" in text or "İ" in text:  # where lower() looks at neighbours or adds marks
-            return self.tok.normalizer.normalize_str(text)
+            return self.rules.normalize_str(text)
         return unicodedata.normalize("NFC", text).lower()
 
+    def plain(self, text: str) -> list[str]:
+        return [w for w in WHITE.split(text) if w] if ODD_SPACE.search(text) else text.split()
+
     def words(self, text: str) -> list[str]:
         if "<|" not in text:
-            return self.word.findall(self.normal(text))
+            return self.plain(self.normal(text))
         found: list[str] = []
         for part in self.cut.split(text):
-            found += [part] if part in self.special else self.word.findall(self.normal(part))
+            found += [MARK + part] if part in self.special else self.plain(self.normal(part))
         return found
 
+    @staticmethod
+    def runs(word: str) -> list[str] | tuple[str]:
+        """The parts of a word that are encoded by themselves."""
+        return (word,) if word.isalpha() or not PLAIN.fullmatch(word) else RUNS.findall(word)
+
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Each word's ids as little-endian unsigned 16-bit numbers."""
-        got = self.tok.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u2").tobytes() for e in got]
+        """Each word's ids as little-endian unsigned 16-bit numbers.
+
+        Words in plain letters are cut into runs of letters, digits and signs,
+        as the tokenizer would, so that "word" and "word," share an encoding.
+        """
+        runs_ = [self.runs(w) for w in words]
+        new = list({r for rs in runs_ for r in rs if r[0] != MARK})
+        got = self.tok.encode_batch_fast(new, add_special_tokens=False)
+        ids = dict(zip(new, [array.array("H", e.ids).tobytes() for e in got]))
+        ids |= {MARK + w: i.to_bytes(2, "little") for w, i in self.special.items()}
+        return [ids[rs[0]] if len(rs) == 1 else b"".join([ids[r] for r in rs]) for rs in runs_]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's ids; a word that this process has met is not encoded again."""
+        """Each text's ids; a word that this process has met of late is not encoded again."""
         lists = [self.words(t) for t in texts]
-        if len(self.known) > HELD:
-            self.known.clear()
-        if new := list({w for ws in lists for w in ws}.difference(self.known)):
+        if len(self.known) > REMEMBERED:  # two generations: what is in use moves on to the new one
+            self.before, self.known = self.known, {}
+        new = []
+        for w in set().union(*lists).difference(self.known):
+            if w in self.before:
+                self.known[w] = self.before[w]
+            else:
+                new.append(w)
+        if new:
             self.known.update(zip(new, self.encode_words(new)))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), dtype="<u2") for ws in lists]
@@ -100,31 +137,104 @@ def bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def pack_ids(ids: bytes) -> bytes:
-    planes = np.frombuffer(ids, dtype=np.uint8).reshape(-1, 2).T
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def pack_ranks(ranks: np.ndarray) -> bytes:
+    """Word ranks as three compressed byte planes; ranks are below 2 ** 24."""
+    planes = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+    return _PACK.compress(planes.tobytes())
 
 
-def unpack_ids(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
-    return planes.reshape(2, -1).T.copy().view("<u2").ravel()
+def unpack_ranks(blob: bytes) -> list[int]:
+    planes = np.frombuffer(_UNPACK.decompress(blob), np.uint8).reshape(3, -1)
+    wide = np.zeros((planes.shape[1], 4), np.uint8)
+    wide[:, :3] = planes.T
+    return wide.view("<u4").ravel().tolist()
 
 
 def _counted(path: str):
+    def parted(b: WordBpe, held: Counter) -> pd.DataFrame:
+        found: Counter = Counter()
+        for w, n in held.items():
+            for r in b.runs(w):
+                found[r] += n
+        return pd.DataFrame({"word": list(found), "n": list(found.values())})
+
     def run(frames):
         b, held = bpe(path), Counter()
         for f in frames:
             for t in f["text"]:
                 held.update(b.words(t))
             if len(held) > HELD:
-                yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+                yield parted(b, held)
                 held = Counter()
         if held:
-            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
+            yield parted(b, held)
 
     return run
 
 
+class Ranked:
+    """A text's parts as ranks in the table of frequent ones, or the parts that are not in it, in order."""
+
+    def __init__(self, b: WordBpe, ranks: dict[str, int], hole: int):
+        self.b, self.ranks = b, ranks
+        self.gap = hole.to_bytes(4, "little")
+        self.packed: dict[str, bytes] = {}
+        self.missing: dict[str, list[str]] = {}
+
+    @functools.cached_property
+    def of(self) -> dict[str, bytes]:
+        return {w: r.to_bytes(4, "little") for w, r in self.ranks.items()}
+
+    def _pack(self, word: str) -> bytes:
+        if word.isalpha():  # one run, and it is not in the table
+            return self.gap
+        got = self.packed.get(word)
+        if got is None:
+            if len(self.packed) > LOOKED_UP:
+                self.packed.clear()
+            got = self.packed[word] = b"".join([self.of.get(p, self.gap) for p in self.b.runs(word)])
+        return got
+
+    def ranked(self, text: str) -> np.ndarray:
+        words = self.b.words(text)
+        parts = list(map(self.of.get, words))
+        if None in parts:
+            pack, at = self._pack, -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                parts[at] = pack(words[at])
+        return np.frombuffer(b"".join(parts), np.uint32)
+
+    def rare(self, text: str) -> list[str]:
+        ranks, missing, out = self.ranks, self.missing, []
+        if len(missing) > LOOKED_UP:
+            missing.clear()
+        for w in [w for w in self.b.words(text) if w not in ranks]:
+            if w.isalpha():  # one run
+                out.append(w)
+                continue
+            parts = missing.get(w)
+            if parts is None:
+                parts = missing[w] = [p for p in self.b.runs(w) if p not in ranks]
+            out += parts
+        return out
+
+
+_ranked: list[Ranked] = []
+
+
+def ranked_table(b: WordBpe, ranks: dict[str, int], hole: int) -> Ranked:
+    """The process's table for these ranks, with nothing held of the task before."""
+    if not _ranked or _ranked[0].ranks is not ranks:
+        _ranked[:] = [Ranked(b, ranks, hole)]
+    _ranked[0].packed.clear()
+    _ranked[0].missing.clear()
+    return _ranked[0]
+
+
 def frequent_words(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[str, bytes]:
     """The ids of the words that occur most, ``most`` at most, and at least twice.
 
@@ -155,11 +265,13 @@ def frequent_words(docs: DataFrame, path: str, most: int = FREQUENT) -> dict[str
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, most: int = FREQUENT) -> DataFrame:
-    """doc_id and ids (packed, see ``unpack_ids``) of each row of ``docs``."""
+    """doc_id and ids (little-endian unsigned 16-bit numbers) of each row of ``docs``."""
     path = path or default_path()
     spark = docs.sparkSession
-    small_batches(spark)
-    table_ = spark.sparkContext.broadcast(frequent_words(docs, path, most))
+    small_batches(spark, 1024)
+    known = frequent_words(docs, path, most)
+    table_ = spark.sparkContext.broadcast(({w: i for i, w in enumerate(known)}, list(known.values())))
+    hole = len(known)
     keyed = docs.select(
         "doc_id",
         text_or_empty().alias("text"),
@@ -167,15 +279,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, most: int = FREQU
     )
 
     def rare(frames):
-        b, known = bpe(path), table_.value
+        table = ranked_table(bpe(path), table_.value[0], hole)
         for f in frames:
             words, keys, at = [], [], []
             for key, text in zip(f["key"], f["text"]):
-                for i, w in enumerate(b.words(text)):
-                    if w not in known:
-                        words.append(w)
-                        keys.append(key)
-                        at.append(i)
+                found = table.rare(text)
+                words += found
+                at += range(len(found))
+                keys += [key] * len(found)
             yield pd.DataFrame({"word": words, "key": keys, "at": at})
 
     def encoded(frames):
@@ -188,27 +299,22 @@ def encode_documents(docs: DataFrame, path: str | None = None, most: int = FREQU
             yield pd.DataFrame({"key": f["key"], "at": f["at"], "ids": [ids[w] for w in f["word"]]})
 
     def streamed(frames):
-        b, known = bpe(path), table_.value
-        hole = HOLE.to_bytes(2, "little")
+        table = ranked_table(bpe(path), table_.value[0], hole)
         for f in frames:
-            got = [pack_ids(b"".join([known.get(w, hole) for w in b.words(t)])) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "key": f["key"], "stream": got})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "key": f["key"], "stream": [pack_ranks(table.ranked(t)) for t in f["text"]]})
 
     def filled(frames):
+        by_rank = [*table_.value[1], b""]
         for f in frames:
             out = []
-            for stream, rare_ids in zip(f["stream"], f["rare"]):
-                if rare_ids is None or not len(rare_ids):
-                    out.append(stream)
-                    continue
-                ids = unpack_ids(stream)
-                by = {r["at"]: r["ids"] for r in rare_ids}  # a repeated row's positions are the same
-                holes = np.flatnonzero(ids == HOLE)
-                parts, start = [], 0
-                for h, at in zip(holes, sorted(by)):
-                    parts += [ids[start:h].tobytes(), by[at]]
-                    start = h + 1
-                out.append(pack_ids(b"".join([*parts, ids[start:].tobytes()])))
+            for stream, at, rare_ids in zip(f["stream"], f["at"], f["rare_ids"]):
+                ranks = unpack_ranks(stream)
+                parts = [by_rank[r] for r in ranks]
+                if at is not None:
+                    own = dict(zip(at.tolist(), rare_ids))  # a repeated row's positions are the same
+                    for k, i in enumerate(np.flatnonzero(np.array(ranks) == hole).tolist()):
+                        parts[i] = own[k]
+                out.append(b"".join(parts))
             yield pd.DataFrame({"doc_id": f["doc_id"], "ids": out})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -217,9 +323,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, most: int = FREQU
         .repartition("word").sortWithinPartitions("word")
         .mapInPandas(encoded, "key binary, at int, ids binary")
         .groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+        .select("key", F.col("rare.at").alias("at"), F.col("rare.ids").alias("rare_ids"))
     )
     streams = keyed.mapInPandas(streamed, f"doc_id {kind}, key binary, stream binary")
-    return streams.join(holes, "key", "left").select("doc_id", "stream", "rare").mapInPandas(filled, f"doc_id {kind}, ids binary")
+    return streams.join(holes, "key", "left").select("doc_id", "stream", "at", "rare_ids").mapInPandas(filled, f"doc_id {kind}, ids binary")
 
 
 def decode_ids(ids: np.ndarray, pieces: list[str]) -> str:
@@ -232,12 +339,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def digests(frames):
         b = bpe(path)
+        numerals = [str(i) for i in range(len(b.pieces))]
         for f in frames:
             n, enc, dec = [], [], []
-            for blob in f["ids"]:
-                ids = unpack_ids(blob)
+            for data in f["ids"]:
+                ids = np.frombuffer(data, "<u2")
                 n.append(len(ids))
-                enc.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
+                enc.append(hashlib.sha256(" ".join([numerals[i] for i in ids.tolist()]).encode()).hexdigest())
                 dec.append(hashlib.sha256(decode_ids(ids, b.pieces).encode()).hexdigest())
             yield pd.DataFrame({"doc_id": f["doc_id"], "n_tokens": n, "ids_sha256": enc, "decoded_sha256": dec})
 
