@@ -6,8 +6,11 @@ tokens. In a leaf, lines join in order of first occurrence (doc_id, line) the
 template that equals them in most places, if that is at least ``PERCENT`` per
 cent of the tokens, variable ones included, and in half of them word for word;
 fields that differ become variable. Other lines found templates of their own. A template that two documents or more use recurs: all
-its lines go but its first occurrence. Lines of fewer than ``LEAST`` tokens
-and lines that are mostly variable, as rows of numbers are, are left alone.
+its lines go but its first occurrence. Lines of fewer than ``least`` tokens
+(``LEAST`` unless stated; op1 and the pipeline pass 1, so every line with a word
+enters the tree) and lines that are mostly variable, as rows of numbers are, are
+left alone. Lines of up to ``LEAD`` tokens share a leaf, and a template, only
+where all their tokens agree.
 
 Most leaves hold one line and need no text: lines first meet as hashes of leaf
 and line, bucketed, and a task sends one entry for a line that it holds many
@@ -77,10 +80,10 @@ class Leaf:
         return self.used - 1
 
 
-def _lines(raw: bytes):
+def _lines(raw: bytes, least: int):
     """(line number, tokens) of the lines that are long enough."""
     for i, line in enumerate(raw.split(b"\n")):
-        if len(line) >= 2 * LEAST - 1 and len(t := tokens_of(line)) >= LEAST and 2 * t.count(FIELD) <= len(t):
+        if len(line) >= 2 * least - 1 and len(t := tokens_of(line)) >= least and 2 * t.count(FIELD) <= len(t):
             yield i, t
 
 
@@ -91,7 +94,7 @@ def _chunks(frame: pd.DataFrame):
         yield raw[s], doc[s], own[s]
 
 
-def line_classes(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, buckets: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(lines that go, lines whose leaf has others), packed by document bucket."""
 
     def parse(frames):
@@ -99,7 +102,7 @@ def line_classes(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
             for raw, doc, own in _chunks(f):
                 text, place, leaf, line = [], [], [], []
                 for i, r in enumerate(raw):
-                    for n, t in _lines(r):
+                    for n, t in _lines(r, least):
                         text.append(i)
                         place.append(n)
                         leaf.append(leaf_of(t))
@@ -160,7 +163,7 @@ def _open_by_doc(blobs, opened: bool) -> dict[int, tuple[np.ndarray, np.ndarray]
     return {int(doc[order[a]]): (place[order[a:b]], what[order[a:b]]) for a, b in zip(cut[:-1], cut[1:])}
 
 
-def template_lines(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
+def template_lines(docs: DataFrame, classes: DataFrame, buckets: int, least: int) -> DataFrame:
     """Lines that go by the templates of leaves with several lines, packed by document bucket."""
 
     def send(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +174,7 @@ def template_lines(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFra
             for r, d, o in zip(raw, doc.tolist(), own.tolist()):
                 place, what = by[d]
                 want = dict(zip(place.tolist(), what.tolist()))
-                for n, t in _lines(r):
+                for n, t in _lines(r, least):
                     if n in want:
                         found.append((leaf_of(t), want[n] - 1, d, o, n, len(t)))
                         codes.append(token_codes(t))
@@ -212,14 +215,14 @@ def template_lines(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFra
     return docs.groupBy("own").cogroup(classes.groupBy("own")).applyInPandas(send, MINE).groupBy("bucket").applyInPandas(grow, SPOTS)
 
 
-def dropped_lines(docs: DataFrame) -> tuple[DataFrame, int]:
+def dropped_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
     """The lines that go, packed by document bucket, and the number of buckets."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = 2 * parts(spark)
     own = keyed(docs, buckets)
-    classes = materialize(line_classes(own, buckets))
-    return classes.union(materialize(template_lines(own, classes, buckets))), buckets
+    classes = materialize(line_classes(own, buckets, least))
+    return classes.union(materialize(template_lines(own, classes, buckets, least))), buckets
 
 
 def without(text: str, gone: np.ndarray | None) -> tuple[int, int, str]:
@@ -233,9 +236,9 @@ def without(text: str, gone: np.ndarray | None) -> tuple[int, int, str]:
     return n, len(lines) - len(kept), "\n".join(kept)
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with the lines left; documents that lose every line with a word are not among them."""
-    gone, buckets = dropped_lines(docs)
+    gone, buckets = dropped_lines(docs, least)
     names = docs.columns
     whole = docs.withColumn("__doc", doc_key()).withColumn("__own", F.pmod(F.xxhash64(doc_key()), F.lit(buckets)).cast("int"))
 
@@ -260,7 +263,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_dropped, kept_sha256 of the text that is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone, buckets = dropped_lines(docs)
+    gone, buckets = dropped_lines(docs, least=1)
 
     def digest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         by, rows = _open_by_doc(right["blob"], False), []
