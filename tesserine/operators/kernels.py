@@ -130,39 +130,44 @@ def per_matrix(a: SparkArray, f: Callable[..., list[np.ndarray]], shapes: list[t
         raise LinAlgError(f"a matrix of {a.shape[-2:]} doesn't fit one task")
     lead = [f"i{k}" for k in range(a.rank - 2)]
 
-    def rows(x: SparkArray, name: str) -> DataFrame:
-        own = [F.col(f"i{k}") for k in range(len(lead), x.rank)]
-        return x.df.select(*lead, F.lit(name).alias("__of"), F.array(*own).alias("__at"), F.struct(F.col("v.re").cast("double").alias("re"), F.col("v.im").cast("double").alias("im")).alias("v") if x.dtype.startswith("complex") else F.struct(F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im")).alias("v"))
-
-    stack = rows(a, "0")
-    for k, o in enumerate(others):
-        stack = stack.union(rows(o, str(k + 1)))
     dims = [a.shape[len(lead):], *(o.shape[len(lead):] for o in others)]
     kinds = [a.dtype.startswith("complex"), *(o.dtype.startswith("complex") for o in others)]
+    most_in, most_out = max(map(len, dims)), max(map(len, shapes))
+
+    # cells travel as columns of numbers: a frame of lists and structs takes many times their size
+    def rows(x: SparkArray, k: int) -> DataFrame:
+        at = [(F.col(f"i{len(lead) + j}") if j < len(dims[k]) else F.lit(0)).cast("bigint").alias(f"__p{j}") for j in range(most_in)]
+        re, im = (F.col("v.re"), F.col("v.im")) if kinds[k] else (F.col("v"), F.lit(0.0))
+        return x.df.select(*lead, F.lit(k).alias("__of"), *at, re.cast("double").alias("re"), im.cast("double").alias("im"))
+
+    stack = rows(a, 0)
+    for k, o in enumerate(others):
+        stack = stack.union(rows(o, k + 1))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         given = []
         for k, (d, z) in enumerate(zip(dims, kinds)):
-            own = group[group["__of"] == str(k)]
+            own = group[group["__of"] == k]
             m = np.zeros(d, complex if z else float)
-            at = tuple(np.array(list(own["__at"]), int).reshape(len(own), len(d)).T)
-            m[at] = [complex(v["re"], v["im"]) if z else v["re"] for v in own["v"]]
+            m[tuple(own[f"__p{j}"].to_numpy(int) for j in range(len(d)))] = own["re"].to_numpy() + 1j * own["im"].to_numpy() if z else own["re"].to_numpy()
             given.append(m)
         out = []
         for k, r in enumerate(f(*given)):
             r = np.asarray(r)
-            for at in np.ndindex(r.shape):
-                z = complex(r[at])
-                out.append((*(int(group[c].iloc[0]) for c in lead), k, list(at), {"re": z.real, "im": z.imag}))
-        return pd.DataFrame(out, columns=[*lead, "k", "at", "v"])
+            at = np.unravel_index(np.arange(r.size), r.shape) if r.ndim else ()
+            z, zero = r.ravel(), np.zeros(r.size, int)
+            place = {f"__p{j}": at[j] if j < r.ndim else zero for j in range(most_out)}
+            out.append(pd.DataFrame({**{c: zero + int(group[c].iloc[0]) for c in lead}, "k": zero + k, **place, "re": z.real.astype(float), "im": z.imag.astype(float)}))
+        return pd.concat(out)
 
-    schema = "".join(f"{c} bigint, " for c in lead) + f"k int, at array<bigint>, v {COMPLEX}"
+    schema = "".join(f"{c} bigint, " for c in lead) + "k int, " + "".join(f"__p{j} bigint, " for j in range(most_out)) + "re double, im double"
     done = stack.withColumn("__one", F.lit(0)).groupBy("__one", *lead).applyInPandas(run, schema)
+    re, im = (F.coalesce(c, F.lit(math.nan)) for c in ("re", "im"))  # Arrow takes the NaN of a frame for null
     results = []
     for k, s in enumerate(shapes):
         full = (*a.shape[: len(lead)], *s)
-        v = F.col("v") if complex_out else F.col("v.re")
-        cells = done.where(F.col("k") == k).select(*lead, *(F.col("at")[j].alias(f"i{len(lead) + j}") for j in range(len(s))), v.alias("v"))
+        v = F.struct(re.alias("re"), im.alias("im")) if complex_out else re
+        cells = done.where(F.col("k") == k).select(*lead, *(F.col(f"__p{j}").alias(f"i{len(lead) + j}") for j in range(len(s))), v.alias("v"))
         results.append(SparkArray(cells.select(*names(len(full)), "v"), full, "complex128" if complex_out else "float64"))
     return results
 

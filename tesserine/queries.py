@@ -341,17 +341,40 @@ for _name, _f, _sql in (
     ORACLES[_name] = f"WITH m AS ({_M}) {_sql}"
 
 
+# the same operators as above over every row; those of pairs of rows take the rows with a vec_id divisible by 100 against all, pdist all pairs
+_N = "(SELECT max(vec_id) + 1 FROM embeddings)"
+_QUERY = "(SELECT i0 // 100 AS i0, i1, v FROM m WHERE i0 % 100 = 0)"
+for _name, _f, _sql in (
+    ("concatenate", lambda m: shaping.concatenate([m, m]), f"SELECT i0, i1, v FROM m UNION ALL SELECT i0 + {_N}, i1, v FROM m"), ("stack", lambda m: shaping.stack([m, m.flip(1)]), "SELECT 0::BIGINT AS i0, i0 AS i1, i1 AS i2, v FROM m UNION ALL SELECT 1, i0, 63 - i1, v FROM m"),
+    ("tile", lambda m: shaping.tile(m, [2, 1]), f"SELECT i0 + {_N} * r AS i0, i1, v FROM m, (VALUES (0), (1)) x(r)"), ("repeat", lambda m: shaping.repeat(m, 2, 0), "SELECT i0 * 2 + r AS i0, i1, v FROM m, (VALUES (0), (1)) x(r)"),
+    ("pad", lambda m: shaping.pad(m, [(1, 0), (0, 0)], "edge"), "SELECT i0 + 1 AS i0, i1, v FROM m UNION ALL SELECT 0, i1, v FROM m WHERE i0 = 0"), ("put", lambda m: m.put([slice(None), 1], 9.0), "SELECT i0, i1, CASE WHEN i1 = 1 THEN 9.0 ELSE v END AS v FROM m"), ("rot90", lambda m: m.rot90(), "SELECT 63 - i1 AS i0, i0 AS i1, v FROM m"),
+    ("outer", lambda m: con.outer(m[[slice(None, None, 100), 0]], m[[slice(None), 1]]).map(lambda v: F.round(v, 6)), f"SELECT a.i0, b.i0 AS i1, round(a.v * b.v, 6) AS v FROM {_QUERY} a, m b WHERE a.i1 = 0 AND b.i1 = 1"),
+    ("kron", lambda m: con.kron(m[::100, :2], m[:, :2]).map(lambda v: F.round(v, 6)), f"SELECT a.i0 * {_N} + b.i0 AS i0, a.i1 * 2 + b.i1 AS i1, round(a.v * b.v, 6) AS v FROM {_QUERY} a, m b WHERE a.i1 < 2 AND b.i1 < 2"),
+    ("inner", lambda m: con.inner(m[::100], m).map(lambda v: F.round(v, 5)), f"SELECT a.i0, b.i0 AS i1, round(sum(a.v * b.v), 5) AS v FROM {_QUERY} a JOIN m b USING (i1) GROUP BY 1, 2"),
+    ("multi_dot", lambda m: con.multi_dot([m, m.transpose(), m]).map(lambda v: F.round(v, 4)), "SELECT a.i0, g.y AS i1, round(sum(a.v * g.v), 4) AS v FROM m a JOIN (SELECT b.i1 AS x, c.i1 AS y, sum(b.v * c.v) AS v FROM m b JOIN m c USING (i0) GROUP BY 1, 2) g ON a.i1 = g.x GROUP BY 1, 2"),
+    ("cdist", lambda m: con.cdist(m[::100], m).map(lambda v: F.round(v, 5)), f"SELECT a.i0, b.i0 AS i1, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 5) AS v FROM {_QUERY} a JOIN m b USING (i1) GROUP BY 1, 2"),
+    ("pdist", lambda m: con.pdist(m, "chebyshev").map(lambda v: F.round(v, 5)), f"SELECT {_N} * a.i0 - a.i0 * (a.i0 + 1) // 2 + b.i0 - a.i0 - 1 AS i0, round(max(abs(a.v - b.v)), 5) AS v FROM m a JOIN m b USING (i1) WHERE a.i0 < b.i0 GROUP BY a.i0, b.i0"),
+):
+    QUERIES[f"{_name}_whole"] = lambda spark, sf_dir, f=_f: f(_matrix(spark, sf_dir)).df
+    ORACLES[f"{_name}_whole"] = f"WITH m AS ({_M}) {_sql}"
+
+
 def _softmax(m: SparkArray) -> SparkArray:
     from .plans.nn import softmax
 
     return softmax(m)
 
 
-# kernels and generators: no SQL form, or rows only
+def _gram(m: SparkArray) -> SparkArray:
+    """The square matrix of every row of ``m``: the sums of products of its columns."""
+    return con.matmul(m.transpose(), m)
+
+
+# kernels and generators: no SQL form, or rows only. Square operators take the Gram matrix of all rows; det a mean of rows, as its power of 64 leaves the doubles
 for _name, _f in (
-    ("fft", lambda m: ker.fft(m)), ("ifft", lambda m: ker.ifft(m)), ("rfft", lambda m: ker.rfft(m)), ("irfft", lambda m: ker.irfft(ker.rfft(m))), ("fft2", lambda m: ker.fft2(m[:16])), ("inv", lambda m: ker.inv(m[:8, :8])), ("det", lambda m: ker.det(m[:8, :8])), ("slogdet", lambda m: ker.slogdet(m[:8, :8])[1]), ("solve", lambda m: ker.solve(m[:8, :8], m[8:16, :8])),
-    ("eig", lambda m: ker.eig(m[:8, :8])[0]), ("eigh", lambda m: ker.eigh(con.matmul(m.transpose(), m))[0]), ("cholesky", lambda m: ker.cholesky(con.matmul(m.transpose(), m))), ("qr", lambda m: ker.qr(m[:32])[1]), ("svd", lambda m: ker.svd(m[:32])[1]), ("pinv", lambda m: ker.pinv(m[:32])), ("lstsq", lambda m: ker.lstsq(m[:100, :5], m[:100, 5])[0]),
-    ("lu", lambda m: ker.lu(m[:8, :8])[2]), ("hessenberg", lambda m: ker.hessenberg(m[:8, :8])[0]), ("schur", lambda m: ker.schur(m[:8, :8])[0]), ("matrix_power", lambda m: con.matrix_power(m[:8, :8], 3)), ("permutation", lambda m: rnd.permutation(m, 7)), ("fftshift", lambda m: ker.fftshift(m, 1)),
+    ("fft", lambda m: ker.fft(m)), ("ifft", lambda m: ker.ifft(m)), ("rfft", lambda m: ker.rfft(m)), ("irfft", lambda m: ker.irfft(ker.rfft(m))), ("fft2", lambda m: ker.fft2(m)), ("inv", lambda m: ker.inv(_gram(m))), ("det", lambda m: ker.det(_gram(m).map(lambda v: v / m.shape[0]))), ("slogdet", lambda m: ker.slogdet(_gram(m))[1]), ("solve", lambda m: ker.solve(_gram(m), m.transpose())),
+    ("eig", lambda m: ker.eig(_gram(m))[0]), ("eigh", lambda m: ker.eigh(con.matmul(m.transpose(), m))[0]), ("cholesky", lambda m: ker.cholesky(con.matmul(m.transpose(), m))), ("qr", lambda m: ker.qr(m)[1]), ("svd", lambda m: ker.svd(m)[1]), ("pinv", lambda m: ker.pinv(m)), ("lstsq", lambda m: ker.lstsq(m[:, :63], m[:, 63])[0]),
+    ("lu", lambda m: ker.lu(_gram(m))[2]), ("hessenberg", lambda m: ker.hessenberg(_gram(m))[0]), ("schur", lambda m: ker.schur(_gram(m))[0]), ("matrix_power", lambda m: con.matrix_power(_gram(m), 3)), ("permutation", lambda m: rnd.permutation(m, 7)), ("fftshift", lambda m: ker.fftshift(m, 1)),
 ):
     QUERIES[_name] = lambda spark, sf_dir, f=_f: f(_matrix(spark, sf_dir)).df
 
@@ -378,12 +401,12 @@ def polyfit(spark, sf_dir):
 
 @query("roots")
 def roots(spark, sf_dir):
-    return ker.roots(table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 5).alias("c")), "c")
+    return ker.roots(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("c")), "c")
 
 
 @query("irr")
 def irr(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.array(F.lit(-10.0)), F.transform(F.slice("embedding", 1, 6), lambda x: F.abs(x).cast("double"))).alias("c"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.array(F.lit(-10.0)), F.transform("embedding", lambda x: F.abs(x).cast("double"))).alias("c"))
     return ker.irr(e, "c")
 
 
