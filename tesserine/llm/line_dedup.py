@@ -1,8 +1,9 @@
 """Line dedup by a log-template tree of fixed depth.
 
 A line's tokens are its words; a token with a digit is a variable field from
-the start. The tree branches by token count and then by the ``LEAD`` leading
-tokens. In a leaf, lines join in order of first occurrence (doc_id, line) the
+the start. The tree branches by token count and then by the ``depth`` leading
+tokens (``LEAD`` unless stated; op1 and the pipeline pass 1, so that a field among
+the first words can vary). In a leaf, lines join in order of first occurrence (doc_id, line) the
 template that equals them in most places, if that is at least ``PERCENT`` per
 cent of the tokens, variable ones included, and in half of them word for word;
 fields that differ become variable. Other lines found templates of their own. A template that two documents or more use recurs: all
@@ -10,7 +11,7 @@ its lines go but its first occurrence. Lines of fewer than ``least`` tokens
 (``LEAST`` unless stated; op1 and the pipeline pass 1, so every line with a word
 enters the tree) and lines that are mostly variable, as rows of numbers are, are
 left alone. Lines of up to ``LEAD`` tokens share a leaf, and a template, only
-where all their tokens agree.
+where all their tokens agree, whatever ``depth`` is.
 
 Most leaves hold one line and need no text: lines first meet as hashes of leaf
 and line, bucketed, and a task sends one entry for a line that it holds many
@@ -48,8 +49,8 @@ def tokens_of(line: bytes) -> list[bytes]:
     return VARIABLE.sub(FIELD, line).split()
 
 
-def leaf_of(tokens: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:LEAD]))
+def leaf_of(tokens: list[bytes], depth: int) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[: depth if len(tokens) > LEAD else LEAD]))
 
 
 def token_codes(tokens: list[bytes]) -> np.ndarray:
@@ -94,7 +95,7 @@ def _chunks(frame: pd.DataFrame):
         yield raw[s], doc[s], own[s]
 
 
-def line_classes(docs: DataFrame, buckets: int, least: int) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, buckets: int, least: int, depth: int) -> tuple[DataFrame, DataFrame]:
     """(lines that go, lines whose leaf has others), packed by document bucket."""
 
     def parse(frames):
@@ -105,7 +106,7 @@ def line_classes(docs: DataFrame, buckets: int, least: int) -> tuple[DataFrame,
                     for n, t in _lines(r, least):
                         text.append(i)
                         place.append(n)
-                        leaf.append(leaf_of(t))
+                        leaf.append(leaf_of(t, depth))
                         line.append(xxhash.xxh3_64_intdigest(b" ".join(t)))
                 if not text:
                     continue
@@ -163,7 +164,7 @@ def _open_by_doc(blobs, opened: bool) -> dict[int, tuple[np.ndarray, np.ndarray]
     return {int(doc[order[a]]): (place[order[a:b]], what[order[a:b]]) for a, b in zip(cut[:-1], cut[1:])}
 
 
-def template_lines(docs: DataFrame, classes: DataFrame, buckets: int, least: int) -> DataFrame:
+def template_lines(docs: DataFrame, classes: DataFrame, buckets: int, least: int, depth: int) -> DataFrame:
     """Lines that go by the templates of leaves with several lines, packed by document bucket."""
 
     def send(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +177,7 @@ def template_lines(docs: DataFrame, classes: DataFrame, buckets: int, least: int
                 want = dict(zip(place.tolist(), what.tolist()))
                 for n, t in _lines(r, least):
                     if n in want:
-                        found.append((leaf_of(t), want[n] - 1, d, o, n, len(t)))
+                        found.append((leaf_of(t, depth), want[n] - 1, d, o, n, len(t)))
                         codes.append(token_codes(t))
             if not found:
                 continue
@@ -215,14 +216,14 @@ def template_lines(docs: DataFrame, classes: DataFrame, buckets: int, least: int
     return docs.groupBy("own").cogroup(classes.groupBy("own")).applyInPandas(send, MINE).groupBy("bucket").applyInPandas(grow, SPOTS)
 
 
-def dropped_lines(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
+def dropped_lines(docs: DataFrame, least: int = LEAST, depth: int = LEAD) -> tuple[DataFrame, int]:
     """The lines that go, packed by document bucket, and the number of buckets."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = 2 * parts(spark)
     own = keyed(docs, buckets)
-    classes = materialize(line_classes(own, buckets, least))
-    return classes.union(materialize(template_lines(own, classes, buckets, least))), buckets
+    classes = materialize(line_classes(own, buckets, least, depth))
+    return classes.union(materialize(template_lines(own, classes, buckets, least, depth))), buckets
 
 
 def without(text: str, gone: np.ndarray | None) -> tuple[int, int, str]:
@@ -236,9 +237,9 @@ def without(text: str, gone: np.ndarray | None) -> tuple[int, int, str]:
     return n, len(lines) - len(kept), "\n".join(kept)
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = LEAST, depth: int = LEAD) -> DataFrame:
     """``docs`` with the lines left; documents that lose every line with a word are not among them."""
-    gone, buckets = dropped_lines(docs, least)
+    gone, buckets = dropped_lines(docs, least, depth)
     names = docs.columns
     whole = docs.withColumn("__doc", doc_key()).withColumn("__own", F.pmod(F.xxhash64(doc_key()), F.lit(buckets)).cast("int"))
 
@@ -263,7 +264,7 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_dropped, kept_sha256 of the text that is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone, buckets = dropped_lines(docs, least=1)
+    gone, buckets = dropped_lines(docs, least=1, depth=1)
 
     def digest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         by, rows = _open_by_doc(right["blob"], False), []
