@@ -9,8 +9,8 @@ cent of the tokens, variable ones included, and in half of them word for word;
 fields that differ become variable. Other lines found templates of their own. A template that two documents or more use recurs: all
 its lines go but its first occurrence. Lines of fewer than ``least`` tokens
 (``LEAST`` unless stated; op1 and the pipeline pass 1, so every line with a word
-enters the tree) and lines that are mostly variable, as rows of numbers are, are
-left alone. Lines of up to ``LEAD`` tokens share a leaf, and a template, only
+enters the tree) are left alone. Lines that are mostly variable, as rows of
+numbers are, recur only word for word, digits included. Lines of up to ``LEAD`` tokens share a leaf, and a template, only
 where all their tokens agree, whatever ``depth`` is.
 
 Most leaves hold one line and need no text: lines first meet as hashes of leaf
@@ -82,10 +82,11 @@ class Leaf:
 
 
 def _lines(raw: bytes, least: int):
-    """(line number, tokens) of the lines that are long enough."""
+    """(line number, tokens, whether they are mostly variable and so unmasked) of the lines that are long enough."""
     for i, line in enumerate(raw.split(b"\n")):
-        if len(line) >= 2 * least - 1 and len(t := tokens_of(line)) >= least and 2 * t.count(FIELD) <= len(t):
-            yield i, t
+        if len(line) >= 2 * least - 1 and len(t := tokens_of(line)) >= least:
+            exact = 2 * t.count(FIELD) > len(t)
+            yield i, line.split() if exact else t, exact
 
 
 def _chunks(frame: pd.DataFrame):
@@ -103,10 +104,10 @@ def line_classes(docs: DataFrame, buckets: int, least: int, depth: int) -> tuple
             for raw, doc, own in _chunks(f):
                 text, place, leaf, line = [], [], [], []
                 for i, r in enumerate(raw):
-                    for n, t in _lines(r, least):
+                    for n, t, exact in _lines(r, least):
                         text.append(i)
                         place.append(n)
-                        leaf.append(leaf_of(t, depth))
+                        leaf.append(xxhash.xxh3_64_intdigest(b"= " + b" ".join(t)) if exact else leaf_of(t, depth))
                         line.append(xxhash.xxh3_64_intdigest(b" ".join(t)))
                 if not text:
                     continue
@@ -175,8 +176,8 @@ def template_lines(docs: DataFrame, classes: DataFrame, buckets: int, least: int
             for r, d, o in zip(raw, doc.tolist(), own.tolist()):
                 place, what = by[d]
                 want = dict(zip(place.tolist(), what.tolist()))
-                for n, t in _lines(r, least):
-                    if n in want:
+                for n, t, exact in _lines(r, least):
+                    if n in want and not exact:  # an exact line is its leaf's only one
                         found.append((leaf_of(t, depth), want[n] - 1, d, o, n, len(t)))
                         codes.append(token_codes(t))
             if not found:
