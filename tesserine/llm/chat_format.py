@@ -97,7 +97,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(
         r"SELECT -7L AS conv_id, turn, role, '\\### Assistant: </turn> ok' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
     )
-    said = F.expr("array_join(transform(filter(turns, x -> x.role = 'assistant'), x -> x.text), '')")
+    # the text under the loss mask, cut from the formatted text itself
+    said = F.expr(f"array_join(transform(transform(spans, s -> substr(formatted, s.start + 1, s.length)), b -> {_unescape('b')}), '')")
     return (
         format_chats(told.unionByName(extra))
         .select("conv_id", "turns", said.alias("__loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
