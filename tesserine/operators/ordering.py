@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ufuncs
 from ..plans.array import SparkArray, sum_all
 from ..plans.shapes import axis_of
+from ..plans.storage import written
 from .scans import positions, scan
 
 
@@ -16,9 +17,10 @@ def global_rank(df: DataFrame, keys: list[Column], out: str = "rank") -> DataFra
 
     A range partitioning sorts the rows over all tasks; a task's place is the
     number of rows before it, so no single task sees them all. The sorted rows
-    are kept, as both passes must see one partitioning, whose bounds are sampled.
+    are written, as both passes must see one partitioning, whose bounds are
+    sampled, also after an executor is lost.
     """
-    ordered = df.orderBy(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).persist()
+    ordered = written(df.orderBy(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     local = F.col("__at") - F.shiftleft(F.col("__part").cast("bigint"), 33)
     sizes = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = scan(sizes, "__n", "__upto", "sum", "__part").select("__part", (F.col("__upto") - F.col("__n")).alias("__before"))
@@ -68,9 +70,9 @@ def searchsorted(keys: DataFrame, queries: DataFrame, key: str = "v", query: str
     if side not in ("left", "right"):
         raise ValueError("side is left or right")
     k = keys.select(F.col(key).cast("double").alias("__x"), F.lit(0 if side == "right" else 1).alias("__o"), F.lit(1).cast("bigint").alias("__k"), F.lit(None).cast("bigint").alias("__id"))
-    tagged = queries.withColumn("__id", F.monotonically_increasing_id()).persist()  # read twice: the ids must not differ
+    tagged = written(queries.withColumn("__id", F.monotonically_increasing_id()))  # read twice: the ids must not differ
     q = tagged.select(F.col(query).cast("double").alias("__x"), F.lit(1 if side == "right" else 0).alias("__o"), F.lit(0).cast("bigint").alias("__k"), "__id")
-    both = k.unionByName(q).orderBy("__x", "__o").withColumn("__part", F.spark_partition_id()).persist()
+    both = written(k.unionByName(q).orderBy("__x", "__o").withColumn("__part", F.spark_partition_id()))
     local = both.withColumn("__n", F.sum("__k").over(Window.partitionBy("__part").orderBy("__x", "__o").rowsBetween(Window.unboundedPreceding, 0)))
     sizes = both.groupBy("__part").agg(F.sum("__k").alias("__c"))
     before = scan(sizes, "__c", "__upto", "sum", "__part").select("__part", (F.col("__upto") - F.col("__c")).alias("__before"))
@@ -243,11 +245,11 @@ def interp(queries: DataFrame, knots: DataFrame, x: str = "x", xp: str = "xp", f
     Knots and queries are sorted together once; each query sees the knot before
     and after it. Beyond the knots ``left`` and ``right``, else the end values.
     """
-    tagged = queries.withColumn("__id", F.monotonically_increasing_id()).persist()
+    tagged = written(queries.withColumn("__id", F.monotonically_increasing_id()))
     k = knots.select(F.col(xp).cast("double").alias("__x"), F.struct(F.col(xp).cast("double").alias("x"), F.col(fp).cast("double").alias("y")).alias("__k"), F.lit(None).cast("bigint").alias("__id"))
     q = tagged.select(F.col(x).cast("double").alias("__x"), F.lit(None).cast("struct<x:double,y:double>").alias("__k"), "__id")
     ends = F.broadcast(knots.agg(F.min_by(fp, xp).cast("double").alias("__first"), F.max_by(fp, xp).cast("double").alias("__last"), F.min(xp).cast("double").alias("__lo"), F.max(xp).cast("double").alias("__hi")))  # one row
-    both = k.unionByName(q).orderBy("__x", F.col("__id").isNotNull()).withColumn("__part", F.spark_partition_id()).persist()
+    both = written(k.unionByName(q).orderBy("__x", F.col("__id").isNotNull()).withColumn("__part", F.spark_partition_id()))
     w = Window.partitionBy("__part").orderBy("__x", F.col("__id").isNotNull())
     near = both.withColumn("__a", F.last("__k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first("__k", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     # a query at a partition's edge takes the knot from the next partition that has one
