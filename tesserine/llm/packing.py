@@ -20,7 +20,7 @@ import bisect
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,28 +132,25 @@ class Places:
 def cut(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """The pieces of each document's ids followed by the end id."""
 
-    def run(frames):
-        for f in frames:
-            rows, row = [], []
-            for k, ids in enumerate(bpe(path).encode(list(f["text"]))):
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple[int, int, int, int, int]] = []
+            for k, ids in enumerate(bpe(path).encode(batch.column(1).to_pylist())):
                 n, data = len(ids) + 1, ids.astype("<u4").tobytes() + END_ID.to_bytes(4, "little")
                 for s in range(0, n, window):
                     part = data[4 * s : 4 * (s + window)]
-                    rows.append((s, len(part) // 4, zlib.crc32(part), n))
-                    row.append(k)
-            got = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens"])
-            got.insert(0, "doc_id", f["doc_id"].astype("Int64").to_numpy()[row] if len(row) else [])
-            got["doc_id"] = got["doc_id"].astype("Int64")
-            yield got
+                    rows.append((k, s, len(part) // 4, zlib.crc32(part), n))
+            at, *numbers = np.array(rows, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, numbers)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInPandas(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PIECE)
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """The pieces of ``docs`` with sequence_id and offset."""
     path = path or default_path()
     spark = docs.sparkSession
-    small_batches(spark, 1024)  # the more texts at once, the fewer words are looked up twice
+    small_batches(spark)
     salts = parts(spark)
     pieces = materialize(cut(docs, path, window).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")))
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
@@ -170,15 +167,15 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     )
     held = spark.sparkContext.broadcast(places)  # as large as the window asks, whatever the corpus
 
-    def placed(frames):
+    def placed(batches):
         p = held.value
-        for f in frames:
-            got = [(p.sequences + r, 0) if n == window else p.of(n, r) for n, r in zip(f["length"], f["rank"])]
-            f["sequence_id"] = [g[0] for g in got]
-            f["offset"] = [g[1] for g in got]
-            yield f.drop(columns="rank")
+        for batch in batches:
+            length, rank = batch.column("length").to_pylist(), batch.column("rank").to_pylist()
+            got = np.array([(p.sequences + r, 0) if n == window else p.of(n, r) for n, r in zip(length, rank)], np.int64).reshape(-1, 2)
+            names = batch.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, got.T)], [*names, "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInPandas(placed, PIECE + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(placed, PIECE + ", sequence_id long, offset long")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

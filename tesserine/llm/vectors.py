@@ -7,6 +7,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 U = np.uint64
@@ -24,6 +25,7 @@ except (OSError, AttributeError):  # another C library: it keeps its own counsel
 
 def release() -> None:
     """Give freed memory back to the system: a worker that sits idle must not hold a kernel's peak."""
+    pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
 
@@ -135,6 +137,14 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[slice]:
 _PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    return _PACK.compress(values.tobytes())
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return _UNPACK.decompress(blob)
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of one length as compressed byte planes; signed ones as differences first."""
     out = [bytes((len(columns),)), len(columns[0]).to_bytes(4, "little")]
@@ -179,6 +189,11 @@ def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes
         yield int(b[lo]), pack(*(c[rows] for c in columns))
 
 
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of every range, one range after the other."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def runs(*sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys starts, and the length at the end."""
     n = len(sorted_keys[0])
