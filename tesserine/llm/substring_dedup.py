@@ -20,41 +20,34 @@ columns beside doc_id and text pass through ``substring_dedup`` untouched.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, small_batches, table, text_or_empty
-from .vectors import CHUNK, U, Words, chunks, dealt, joined, pack, runs, unpack
+from .common import bucket_count, bucketwise, frame, ids_back, keyed, materialize, meet, rebuilt, rows_frame, small_batches, table, with_packs
+from .vectors import CHUNK, U, Words, chunks, dealt, joined, runs
 
 WINDOW, BLOCK = 20, 10
 MINE = "bucket int, own int, blob binary"
 SPOTS = "own int, blob binary"
 
 
-def doc_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-
-
-def keyed(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc, text and the bucket that the document's results meet it in."""
-    return docs.select(doc_key().alias("doc"), text_or_empty().alias("text")).withColumn(
-        "own", F.pmod(F.xxhash64("doc"), F.lit(buckets)).cast("int")
-    )
-
-
-def texts_of(frame: pd.DataFrame):
-    """(texts, docs, own) of chunks of a frame."""
-    raw = [t.encode() for t in frame["text"]]
-    doc, own = frame["doc"].to_numpy(np.int64), frame["own"].to_numpy(np.int32)
+def texts_of(batch: pa.RecordBatch | pa.StructArray) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(texts, docs, own) of chunks of a batch."""
+    column = batch.field if isinstance(batch, pa.StructArray) else batch.column
+    raw = [t.encode() for t in column("text").to_pylist()]
+    doc, own = column("doc").to_numpy(), column("own").to_numpy()
     for s in chunks(raw, 2 * CHUNK):
         yield raw[s], doc[s], own[s]
 
 
-def _rows(rows) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["bucket", "own", "blob"])
+def settled(group: pa.Table) -> tuple[list[tuple[int, bytes]], list[bytes]]:
+    """(own, blob) of what is on its way to its documents, and the packs that meet here."""
+    own, blob = group["own"].to_pylist(), group["blob"].to_pylist()
+    return [(o, b) for o, b in zip(own, blob) if o >= 0], [b for o, b in zip(own, blob) if o < 0]
 
 
 def _spots(own, *columns) -> list[tuple[int, int, bytes]]:
@@ -65,9 +58,9 @@ def _spots(own, *columns) -> list[tuple[int, int, bytes]]:
 def anchor_hits(docs: DataFrame, buckets: int, block: int = BLOCK) -> DataFrame:
     """Places (packed doc and word) whose ``block`` words some indexed block also holds."""
 
-    def probe(frames):
-        for f in frames:
-            for raw, doc, own in texts_of(f):
+    def probe(batches):
+        for batch in batches:
+            for raw, doc, own in texts_of(batch):
                 w = Words(raw)
                 at, h = w.windows(block)
                 if not len(at):
@@ -90,12 +83,11 @@ def anchor_hits(docs: DataFrame, buckets: int, block: int = BLOCK) -> DataFrame:
                     (b, -1, blob)
                     for b, blob in dealt((h[keep] % U(buckets)).astype(np.int32), (h[keep] & U(0xFFFFFFFF)).astype(np.uint32), (h[keep] >> U(32)).astype(np.uint16), indexed[keep], doc[t], own[t], place[keep])
                 ]
-                yield _rows(rows)
+                yield rows_frame(rows, MINE)
 
-    def hit(group: pd.DataFrame) -> pd.DataFrame:
-        settled = group[group["own"] >= 0]
-        rows = list(zip(settled["own"], settled["blob"]))
-        low, high, indexed, doc, own, place = joined(group["blob"][group["own"] < 0], ("u4", "u2", "u1", "i8", "i4", "i4"))
+    def hit(group: pa.Table) -> pa.Table:
+        rows, packs = settled(group)
+        low, high, indexed, doc, own, place = joined(packs, ("u4", "u2", "u1", "i8", "i4", "i4"))
         h = low.astype(U) | high.astype(U) << U(32)
         order = np.argsort(h, kind="stable")
         cut = runs(h[order])
@@ -104,9 +96,9 @@ def anchor_hits(docs: DataFrame, buckets: int, block: int = BLOCK) -> DataFrame:
             found = np.maximum.reduceat(indexed[order], cut[:-1]).astype(bool) & (size > 1)
             spot = np.sort(order[np.repeat(found, size)])
             rows += dealt(own[spot], doc[spot], place[spot])
-        return pd.DataFrame(rows, columns=["own", "blob"])
+        return pa.Table.from_batches([rows_frame(rows, SPOTS)])
 
-    return docs.mapInPandas(probe, MINE).groupBy("bucket").applyInPandas(hit, SPOTS)
+    return docs.mapInArrow(probe, MINE).groupBy("bucket").applyInArrow(hit, SPOTS)
 
 
 def _by_doc(blobs) -> dict[int, np.ndarray]:
@@ -119,42 +111,46 @@ def _by_doc(blobs) -> dict[int, np.ndarray]:
 def repeated_windows(docs: DataFrame, hits: DataFrame, buckets: int, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Places of windows whose words also start earlier, packed by document bucket."""
 
-    def extend(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        by, rows = _by_doc(right["blob"]), []
-        left = left[[int(d) in by for d in left["doc"]]]
-        for raw, doc, own in texts_of(left):
-            w = Words(raw)
-            near = np.zeros(len(w.start) + 1, np.int32)
-            for i, d in enumerate(doc.tolist()):
-                p = by[d]
-                p = p[p < w.count[i]] + w.first[i]
-                np.add.at(near, np.maximum(p - (window - block), w.first[i]), 1)
-                np.add.at(near, p + 1, -1)
-            at, h0 = w.windows(window)
-            take = np.cumsum(near)[at] > 0
-            at, h0 = at[take], h0[take]
-            if not len(at):
-                continue
-            h1 = (w.hash_at(at, window, lane=1) >> U(32)).astype(np.uint32)
-            text, place = w.text[at], w.place[at].astype(np.int32)
-            order = np.lexsort((place, doc[text], h1, h0))
-            cut = runs(h0[order], h1[order])
-            first = np.zeros(len(at), bool)
-            first[order[cut[:-1]]] = True
-            # equal rows hold the same places: those are no earlier ones
-            again = ~first
-            lead = np.empty(len(at), np.int64)
-            lead[order] = np.repeat(order[cut[:-1]], np.diff(cut))
-            again &= (doc[text] != doc[text[lead]]) | (place != place[lead])
-            a, k = np.flatnonzero(again), np.flatnonzero(first)
-            rows += _spots(own[text[a]], doc[text[a]], place[a])
-            rows += [(b, -1, blob) for b, blob in dealt((h0[k] % U(buckets)).astype(np.int32), h0[k], h1[k], doc[text[k]], own[text[k]], place[k])]
-        return _rows(rows)
-
-    def earliest(group: pd.DataFrame) -> pd.DataFrame:
-        settled = group[group["own"] >= 0]
-        rows = list(zip(settled["own"], settled["blob"]))
-        h0, h1, doc, own, place = joined(group["blob"][group["own"] < 0], ("u8", "u4", "i8", "i4", "i4"))
+    def extend(batches):
+        for by, part in bucketwise(batches, _by_doc):
+            part = part.filter(pa.array([d in by for d in part.field("doc").to_pylist()], pa.bool_()))
+            for raw, doc, own in texts_of(part):
+                rows = extended(raw, doc, own, by)
+                if rows:
+                    yield rows_frame(rows, MINE)
+
+    def extended(raw, doc, own, by) -> list[tuple[int, int, bytes]]:
+        w = Words(raw)
+        near = np.zeros(len(w.start) + 1, np.int32)
+        for i, d in enumerate(doc.tolist()):
+            p = by[d]
+            p = p[p < w.count[i]] + w.first[i]
+            np.add.at(near, np.maximum(p - (window - block), w.first[i]), 1)
+            np.add.at(near, p + 1, -1)
+        at, h0 = w.windows(window)
+        take = np.cumsum(near)[at] > 0
+        at, h0 = at[take], h0[take]
+        if not len(at):
+            return []
+        h1 = (w.hash_at(at, window, lane=1) >> U(32)).astype(np.uint32)
+        text, place = w.text[at], w.place[at].astype(np.int32)
+        order = np.lexsort((place, doc[text], h1, h0))
+        cut = runs(h0[order], h1[order])
+        first = np.zeros(len(at), bool)
+        first[order[cut[:-1]]] = True
+        # equal rows hold the same places: those are no earlier ones
+        again = ~first
+        lead = np.empty(len(at), np.int64)
+        lead[order] = np.repeat(order[cut[:-1]], np.diff(cut))
+        again &= (doc[text] != doc[text[lead]]) | (place != place[lead])
+        a, k = np.flatnonzero(again), np.flatnonzero(first)
+        rows = _spots(own[text[a]], doc[text[a]], place[a])
+        rows += [(b, -1, blob) for b, blob in dealt((h0[k] % U(buckets)).astype(np.int32), h0[k], h1[k], doc[text[k]], own[text[k]], place[k])]
+        return rows
+
+    def earliest(group: pa.Table) -> pa.Table:
+        rows, packs = settled(group)
+        h0, h1, doc, own, place = joined(packs, ("u8", "u4", "i8", "i4", "i4"))
         if len(h0):
             order = np.lexsort((place, doc, h1, h0))
             cut = runs(h0[order], h1[order])
@@ -162,12 +158,10 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, buckets: int, window: int
             late = order[(doc[order] != doc[lead]) | (place[order] != place[lead])]
             late.sort()
             rows += dealt(own[late], doc[late], place[late])
-        return pd.DataFrame(rows, columns=["own", "blob"])
+        return pa.Table.from_batches([rows_frame(rows, SPOTS)])
 
-    return (
-        docs.groupBy("own").cogroup(hits.groupBy("own")).applyInPandas(extend, MINE)
-        .groupBy("bucket").applyInPandas(earliest, SPOTS)
-    )
+    rows = docs.select("own", F.struct("doc", "text", "own").alias("row"))
+    return meet(rows, hits).mapInArrow(extend, MINE).groupBy("bucket").applyInArrow(earliest, SPOTS)
 
 
 def kept_words(raw: bytes, starts: np.ndarray, window: int = WINDOW) -> tuple[int, int, list[bytes]]:
@@ -186,9 +180,8 @@ def kept_words(raw: bytes, starts: np.ndarray, window: int = WINDOW) -> tuple[in
 
 
 def _removed(docs: DataFrame, window: int, block: int) -> tuple[DataFrame, DataFrame, int]:
-    spark = docs.sparkSession
-    small_batches(spark)
-    buckets = 2 * parts(spark)
+    small_batches(docs.sparkSession)
+    buckets = bucket_count(docs)
     own = keyed(docs, buckets)
     hits = materialize(anchor_hits(own, buckets, block))
     return own, materialize(repeated_windows(own, hits, buckets, window, block)), buckets
@@ -199,45 +192,38 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
 
     A text that loses nothing stays as it is.
     """
-    names = docs.columns
     _, gone, buckets = _removed(docs, window, block)
-    whole = docs.withColumn("__own", F.pmod(F.xxhash64(doc_key()), F.lit(buckets)).cast("int")).withColumn("__doc", doc_key())
-
-    def cut(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        by = _by_doc(right["blob"])
-        new = []
-        for d, t in zip(left["__doc"], left["text"]):
-            if t is None or int(d) not in by:
-                new.append(t)
-                continue
-            w = Words([t.encode()])
-            s = np.unique(by[int(d)])
-            s = s[s + window <= len(w.start)]
-            mark = np.zeros(len(w.start) + 1, np.int32)
-            np.add.at(mark, s, 1)
-            np.add.at(mark, s + window, -1)
-            stay = np.cumsum(mark[:-1]) == 0
-            raw = t.encode()
-            before = np.concatenate([[0], w.end[:-1]])
-            new.append(b"".join([raw[a:b] for a, b in zip(before[stay].tolist(), w.end[stay].tolist())]).strip(b" \t\n\r\x0b\x0c").decode())
-        left = left.drop(columns=["__own", "__doc"])
-        left["text"] = new
-        return left[names]
-
-    return whole.groupBy("__own").cogroup(gone.groupBy("own")).applyInPandas(cut, docs.schema)
+
+    def left(text: str, starts: np.ndarray) -> str:
+        raw = text.encode()
+        w = Words([raw])
+        s = np.unique(starts)
+        s = s[s + window <= len(w.start)]
+        mark = np.zeros(len(w.start) + 1, np.int32)
+        np.add.at(mark, s, 1)
+        np.add.at(mark, s + window, -1)
+        stay = np.cumsum(mark[:-1]) == 0
+        before = np.concatenate([[0], w.end[:-1]])
+        return b"".join([raw[a:b] for a, b in zip(before[stay].tolist(), w.end[stay].tolist())]).strip(b" \t\n\r\x0b\x0c").decode()
+
+    def cut(batches):
+        for by, part in bucketwise(batches, _by_doc):
+            new = [t if t is None or d not in by else left(t, by[d]) for d, t in zip(part.field("doc").to_pylist(), part.field("text").to_pylist())]
+            yield rebuilt(part.field("whole"), new)
+
+    return with_packs(docs, gone, buckets).mapInArrow(cut, docs.schema)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    own, gone, _ = _removed(docs, WINDOW, BLOCK)
-
-    def digest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        by, none, rows = _by_doc(right["blob"]), np.zeros(0, np.int32), []
-        for d, t in zip(left["doc"].tolist(), left["text"]):
-            n, removed, kept = kept_words(t.encode(), by.get(d, none))
-            rows.append((None if d == -(1 << 63) else d, n, removed, hashlib.sha256(b" ".join(kept)).hexdigest()))
-        got = pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
-        got["doc_id"] = got["doc_id"].astype("Int64")
-        return got
-
-    return own.groupBy("own").cogroup(gone.groupBy("own")).applyInPandas(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    _, gone, buckets = _removed(docs, WINDOW, BLOCK)
+    result = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+
+    def digest(batches):
+        none = np.zeros(0, np.int32)
+        for by, part in bucketwise(batches, _by_doc):
+            doc = part.field("doc").to_pylist()
+            n, removed, kept = zip(*(kept_words((t or "").encode(), by.get(d, none)) for d, t in zip(doc, part.field("text").to_pylist())))
+            yield frame([ids_back(doc), n, removed, [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]], result)
+
+    return with_packs(docs, gone, buckets).mapInArrow(digest, result)
