@@ -25,12 +25,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, small_batches, table
-from .substring_dedup import MINE, SPOTS, _rows, _spots, doc_key, keyed
+from .common import bucket_count, bucketwise, frame, ids_back, keyed, materialize, meet, rebuilt, rows_frame, small_batches, table, with_packs
+from .substring_dedup import MINE, SPOTS, _spots, settled as settled_rows
 from .vectors import U, _between, _bytes_table, _sums, chunks, dealt, joined, mix, pack, runs, unpack
 
 LENGTH, GRAM, SHALLOW, WIDE, SIDE = 200, 40, 16, 2048, 80
@@ -70,10 +70,11 @@ def anchors(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     return np.searchsorted(ends, place, side="right"), place, h[place]
 
 
-def _chunks(frame: pd.DataFrame, limit: int = 1 << 20):
-    """(buffer, starts, ends, docs, own) of chunks of a frame; texts are separated by a zero byte."""
-    raw = [(t or "").encode() for t in frame["text"]]
-    doc, own = frame["doc"].to_numpy(np.int64), frame["own"].to_numpy(np.int32)
+def _chunks(batch: pa.RecordBatch | pa.StructArray, limit: int = 1 << 20):
+    """(buffer, starts, ends, docs, own) of chunks of a batch; texts are separated by a zero byte."""
+    column = batch.field if isinstance(batch, pa.StructArray) else batch.column
+    raw = [t.encode() for t in column("text").to_pylist()]
+    doc, own = column("doc").to_numpy(), column("own").to_numpy()
     for s in chunks(raw, limit):
         part = raw[s]
         sizes = np.fromiter(map(len, part), np.int64, len(part))
@@ -84,9 +85,9 @@ def _chunks(frame: pd.DataFrame, limit: int = 1 << 20):
 def anchor_classes(docs: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM, wide: int = WIDE) -> DataFrame:
     """Anchors that occur twice, packed by document bucket: what is known of each, doc and place."""
 
-    def elect(frames):
-        for f in frames:
-            for buffer, starts, ends, doc, own in _chunks(f):
+    def elect(batches):
+        for batch in batches:
+            for buffer, starts, ends, doc, own in _chunks(batch):
                 if len(buffer) < length:
                     continue
                 text, p, h = anchors(buffer, starts, ends, length, gram)
@@ -109,12 +110,11 @@ def anchor_classes(docs: DataFrame, buckets: int, length: int = LENGTH, gram: in
                 k = np.sort(first)
                 t = text[k]
                 rows += [(b, -1, blob) for b, blob in dealt((h[k] % U(buckets)).astype(np.int32), h[k], ctx[k], multi[k], doc[t], own[t], place[k])]
-                yield _rows(rows)
+                yield rows_frame(rows, MINE)
 
-    def classify(group: pd.DataFrame) -> pd.DataFrame:
-        passed = group[group["own"] >= 0]
-        rows = list(zip(passed["own"], passed["blob"]))
-        h, ctx, multi, doc, own, place = joined(group["blob"][group["own"] < 0], ("u8", "u8", "u1", "i8", "i4", "i4"))
+    def classify(group: pa.Table) -> pa.Table:
+        rows, packs = settled_rows(group)
+        h, ctx, multi, doc, own, place = joined(packs, ("u8", "u8", "u1", "i8", "i4", "i4"))
         if len(h):
             order = np.lexsort((place, doc, ctx, h))
             h, ctx, multi, doc, own, place = (c[order] for c in (h, ctx, multi, doc, own, place))
@@ -131,9 +131,9 @@ def anchor_classes(docs: DataFrame, buckets: int, length: int = LENGTH, gram: in
             take = np.flatnonzero(np.repeat(settled, size) | (lead & np.repeat(need, size)))
             take = take[np.lexsort((place[take], doc[take]))]
             rows += dealt(own[take], what[take], doc[take], place[take])
-        return pd.DataFrame(rows, columns=["own", "blob"])
+        return pa.Table.from_batches([rows_frame(rows, SPOTS)])
 
-    return docs.mapInPandas(elect, MINE).groupBy("bucket").applyInPandas(classify, SPOTS)
+    return docs.mapInArrow(elect, MINE).groupBy("bucket").applyInArrow(classify, SPOTS)
 
 
 def _by_doc(blobs) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -223,51 +223,57 @@ def repeated_offsets(digits, anchor, group, o_lo, o_hi, open_, length: int, gram
 
 def sorted_contexts(docs: DataFrame, classes: DataFrame, buckets: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Places of stretches that also start elsewhere, by sorting the contexts of anchors with several."""
-    def cut_out(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        by, rows = _by_doc(right["blob"]), []
-        left = left[[int(d) in by and bool((by[int(d)][0] & 3).any()) for d in left["doc"]]]
-        for buffer, starts, ends, doc, own in _chunks(left):
-            found = []
-            for i, d in enumerate(doc.tolist()):
-                kind, place = by[d]
-                take = (kind & 3 > 0) & (place <= ends[i] - starts[i] - gram)
-                p = place[take].astype(np.int64) + starts[i]
-                o_hi = p - np.maximum(starts[i], p + gram - length)
-                o_lo = p - np.minimum(p, ends[i] - length)
-                whole = kind[take] & WIDE_FLAG == 0
-                known = (kind[take] & 3 == NEED_SETTLED).astype(np.uint8)
-                text = np.full(len(p), i)
-                found.append((text[whole], p[whole], o_lo[whole], o_hi[whole], known[whole], np.zeros(whole.sum(), np.int8)))
-                w = ~whole
-                # stretches with SIDE bytes before the anchor, and the others, which have SIDE bytes after it
-                for side in (1, 2):
-                    lo, hi = (np.maximum(o_lo[w], SIDE), o_hi[w]) if side == 1 else (o_lo[w], np.minimum(o_hi[w], SIDE - 1))
-                    ok = lo <= hi
-                    found.append((text[w][ok], p[w][ok], lo[ok], hi[ok], known[w][ok], np.full(ok.sum(), side, np.int8)))
-            text, p, o_lo, o_hi, known, side = (np.concatenate(c) for c in zip(*found))
-            if not len(p):
-                continue
-            sums = _sums(_bytes_table(0)[buffer], 0)
-            name = _between(sums, p, p + gram, 0)
-            for s, a, b in ((1, p - SIDE, p), (2, p + gram, p + gram + SIDE)):
-                m = side == s
-                name[m] = mix(name[m] ^ _between(sums, a[m], b[m], 0) ^ U(s))
-            order = np.argsort((name % U(buckets)).astype(np.int32), kind="stable")
-            bucket = (name % U(buckets)).astype(np.int32)
-            cut = runs(bucket[order])
-            for x, y in zip(cut[:-1], cut[1:]):
-                k = order[x:y]
-                body = b"".join([buffer[a:b].tobytes() for a, b in zip((p[k] - o_hi[k]).tolist(), (p[k] - o_lo[k] + length).tolist())])
-                head = pack(name[k], known[k], doc[text[k]], own[text[k]], (p[k] - starts[text[k]]).astype(np.int32), o_lo[k].astype(np.uint8), o_hi[k].astype(np.uint8))
-                rows.append((int(bucket[order[x]]), -1, len(head).to_bytes(4, "little") + head + pack(np.frombuffer(body, np.uint8))))
-        return _rows(rows)
-
-    def sort(group: pd.DataFrame) -> pd.DataFrame:
-        blobs = [bytes(b) for b in group["blob"]]
+
+    def cut_out(batches):
+        for by, part in bucketwise(batches, _by_doc):
+            part = part.filter(pa.array([d in by and bool((by[d][0] & 3).any()) for d in part.field("doc").to_pylist()], pa.bool_()))
+            for chunk in _chunks(part):
+                rows = contexts(*chunk, by)
+                if rows:
+                    yield rows_frame(rows, MINE)
+
+    def contexts(buffer, starts, ends, doc, own, by) -> list[tuple[int, int, bytes]]:
+        rows, found = [], []
+        for i, d in enumerate(doc.tolist()):
+            kind, place = by[d]
+            take = (kind & 3 > 0) & (place <= ends[i] - starts[i] - gram)
+            p = place[take].astype(np.int64) + starts[i]
+            o_hi = p - np.maximum(starts[i], p + gram - length)
+            o_lo = p - np.minimum(p, ends[i] - length)
+            whole = kind[take] & WIDE_FLAG == 0
+            known = (kind[take] & 3 == NEED_SETTLED).astype(np.uint8)
+            text = np.full(len(p), i)
+            found.append((text[whole], p[whole], o_lo[whole], o_hi[whole], known[whole], np.zeros(whole.sum(), np.int8)))
+            w = ~whole
+            # stretches with SIDE bytes before the anchor, and the others, which have SIDE bytes after it
+            for side in (1, 2):
+                lo, hi = (np.maximum(o_lo[w], SIDE), o_hi[w]) if side == 1 else (o_lo[w], np.minimum(o_hi[w], SIDE - 1))
+                ok = lo <= hi
+                found.append((text[w][ok], p[w][ok], lo[ok], hi[ok], known[w][ok], np.full(ok.sum(), side, np.int8)))
+        text, p, o_lo, o_hi, known, side = (np.concatenate(c) for c in zip(*found))
+        if not len(p):
+            return rows
+        sums = _sums(_bytes_table(0)[buffer], 0)
+        name = _between(sums, p, p + gram, 0)
+        for s, a, b in ((1, p - SIDE, p), (2, p + gram, p + gram + SIDE)):
+            m = side == s
+            name[m] = mix(name[m] ^ _between(sums, a[m], b[m], 0) ^ U(s))
+        order = np.argsort((name % U(buckets)).astype(np.int32), kind="stable")
+        bucket = (name % U(buckets)).astype(np.int32)
+        cut = runs(bucket[order])
+        for x, y in zip(cut[:-1], cut[1:]):
+            k = order[x:y]
+            body = b"".join([buffer[a:b].tobytes() for a, b in zip((p[k] - o_hi[k]).tolist(), (p[k] - o_lo[k] + length).tolist())])
+            head = pack(name[k], known[k], doc[text[k]], own[text[k]], (p[k] - starts[text[k]]).astype(np.int32), o_lo[k].astype(np.uint8), o_hi[k].astype(np.uint8))
+            rows.append((int(bucket[order[x]]), -1, len(head).to_bytes(4, "little") + head + pack(np.frombuffer(body, np.uint8))))
+        return rows
+
+    def sort(group: pa.Table) -> pa.Table:
+        blobs = group["blob"].to_pylist()
         sizes = [int.from_bytes(b[:4], "little") for b in blobs]
         name, known, doc, own, place, o_lo, o_hi = joined([b[4 : 4 + n] for b, n in zip(blobs, sizes)], ("u8", "u1", "i8", "i4", "i4", "u1", "u1"))
         if not len(name):
-            return pd.DataFrame([], columns=["own", "blob"])
+            return pa.Table.from_batches([rows_frame([], SPOTS)])
         body = np.concatenate([unpack(b[4 + n :])[0] for b, n in zip(blobs, sizes)])
         o_lo, o_hi = o_lo.astype(np.int64), o_hi.astype(np.int64)
         size = o_hi - o_lo + length
@@ -291,12 +297,13 @@ def sorted_contexts(docs: DataFrame, classes: DataFrame, buckets: int, length: i
                 out_place.append(place[hit] - np.tile(np.arange(a, b + 1, dtype=np.int32), len(m)))
             lo = hi
         if not out_own:
-            return pd.DataFrame([], columns=["own", "blob"])
+            return pa.Table.from_batches([rows_frame([], SPOTS)])
         own, doc, place = np.concatenate(out_own), np.concatenate(out_doc), np.concatenate(out_place)
         order = np.lexsort((place, doc))
-        return pd.DataFrame(list(dealt(own[order], doc[order], place[order])), columns=["own", "blob"])
+        return pa.Table.from_batches([rows_frame(list(dealt(own[order], doc[order], place[order])), SPOTS)])
 
-    return docs.groupBy("own").cogroup(classes.groupBy("own")).applyInPandas(cut_out, MINE).groupBy("bucket").applyInPandas(sort, SPOTS)
+    rows = docs.select("own", F.struct("doc", "text", "own").alias("row"))
+    return meet(rows, classes).mapInArrow(cut_out, MINE).groupBy("bucket").applyInArrow(sort, SPOTS)
 
 
 def covered(size: int, settled: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -312,20 +319,25 @@ def covered(size: int, settled: np.ndarray, starts: np.ndarray, length: int = LE
     return np.cumsum(mark[:-1]) > 0
 
 
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(keyed documents, packed settled anchors and repeated stretches by document bucket, buckets)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    buckets = 2 * parts(spark)
+#: The first byte of a pack that meets its documents: anchors, or stretches.
+ANCHORS, STRETCHES = 0, 1
+
+
+def removals(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(packed settled anchors and repeated stretches by document bucket, buckets)."""
+    small_batches(docs.sparkSession)
+    buckets = bucket_count(docs)
     own = keyed(docs, buckets)
     classes = materialize(anchor_classes(own, buckets))
     repeated = materialize(sorted_contexts(own, classes, buckets))
-    return own, classes.withColumn("kind", F.lit(0)).unionByName(repeated.withColumn("kind", F.lit(1))), buckets
+    told = (d.select("own", F.concat(F.lit(bytes([k])), "blob").alias("blob")) for k, d in ((ANCHORS, classes), (STRETCHES, repeated)))
+    return next(told).union(next(told)), buckets
 
 
-def _gone(right: pd.DataFrame):
-    anchors_ = {d: p[(k & 3) != NEED] for d, (k, p) in _by_doc(right["blob"][right["kind"] == 0]).items()}
-    doc, place = joined(right["blob"][right["kind"] == 1], ("i8", "i4"))
+def gone_bytes(packs: list[bytes]):
+    """What tells which bytes of a document go: a function of doc and size."""
+    anchors_ = {d: p[(k & 3) != NEED] for d, (k, p) in _by_doc([b[1:] for b in packs if b[0] == ANCHORS]).items()}
+    doc, place = joined([b[1:] for b in packs if b[0] == STRETCHES], ("i8", "i4"))
     order = np.argsort(doc, kind="stable")
     cut = runs(doc[order])
     starts = {int(doc[order[a]]): place[order[a:b]] for a, b in zip(cut[:-1], cut[1:])}
@@ -335,37 +347,33 @@ def _gone(right: pd.DataFrame):
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated bytes; bytes that are left of a cut character are dropped with it."""
-    _, gone, buckets = removals(docs)
-    names = docs.columns
-    whole = docs.withColumn("__doc", doc_key()).withColumn("__own", F.pmod(F.xxhash64(doc_key()), F.lit(buckets)).cast("int"))
+    gone, buckets = removals(docs)
+
+    def left(of, d: int, text: str) -> str:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return raw[~of(d, len(raw))].tobytes().decode("utf-8", "ignore")
 
-    def cut(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        of, new = _gone(right), []
-        for d, t in zip(left["__doc"].tolist(), left["text"]):
-            if t is None:
-                new.append(t)
-                continue
-            raw = np.frombuffer(t.encode(), np.uint8)
-            new.append(raw[~of(d, len(raw))].tobytes().decode("utf-8", "ignore"))
-        left = left.drop(columns=["__own", "__doc"])
-        left["text"] = new
-        return left[names]
+    def cut(batches):
+        for of, part in bucketwise(batches, gone_bytes):
+            new = [None if t is None else left(of, d, t) for d, t in zip(part.field("doc").to_pylist(), part.field("text").to_pylist())]
+            yield rebuilt(part.field("whole"), new)
 
-    return whole.groupBy("__own").cogroup(gone.groupBy("own")).applyInPandas(cut, docs.schema)
+    return with_packs(docs, gone, buckets).mapInArrow(cut, docs.schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, gone, _ = removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
-
-    def digest(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        of, rows = _gone(right), []
-        for d, t in zip(left["doc"].tolist(), left["text"]):
-            raw = np.frombuffer(t.encode(), np.uint8)
-            out = of(d, len(raw))
-            spans = int(np.count_nonzero(out[1:] & ~out[:-1]) + (len(out) > 0 and bool(out[0])))
-            rows.append((None if d == -(1 << 63) else d, len(raw), int(out.sum()), spans, hashlib.sha256(raw[~out].tobytes()).hexdigest()))
-        got = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        got["doc_id"] = got["doc_id"].astype("Int64")
-        return got
-
-    return own.groupBy("own").cogroup(gone.groupBy("own")).applyInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone, buckets = removals(docs)
+    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+    def digest(batches):
+        for of, part in bucketwise(batches, gone_bytes):
+            doc, rows = part.field("doc").to_pylist(), []
+            for d, t in zip(doc, part.field("text").to_pylist()):
+                raw = np.frombuffer((t or "").encode(), np.uint8)
+                out = of(d, len(raw))
+                spans = int(np.count_nonzero(out[1:] & ~out[:-1]) + (len(out) > 0 and bool(out[0])))
+                rows.append((len(raw), int(out.sum()), spans, hashlib.sha256(raw[~out].tobytes()).hexdigest()))
+            yield frame([ids_back(doc), *zip(*rows)], result)
+
+    return with_packs(docs, gone, buckets).mapInArrow(digest, result)
