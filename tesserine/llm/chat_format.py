@@ -5,11 +5,12 @@ Grammar of the output::
     conversation := turn*
     turn         := "### " role ": " body "</turn>" LF
     role         := letters, digits and "_"  |  "\\" hex of its UTF-8 bytes
-    body         := text that doesn't start with "\\"  |  "\\" escaped text
+    body         := text without control strings that doesn't start with "\\"  |  "\\" escaped text
 
-A turn is first rendered plainly and parsed by the grammar; where the parse
-isn't the turn itself, its role or text is escaped. The whole conversation is
-then parsed as well; should that differ, all its texts are escaped. In escaped
+A text that holds a control string, ``</turn>`` or ``### ``, or starts with a
+backslash, is escaped. Each turn is then rendered and parsed by the grammar;
+where the parse isn't the turn itself, its text is escaped as well. The whole
+conversation is parsed last; should that differ, all its texts are escaped. In escaped
 text a backslash is doubled, and ``</turn>`` and ``### `` become ``\\t`` and
 ``\\h``, so no control string is left and the way back is unique.
 
@@ -62,10 +63,11 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     plain = rows.withColumn("__r", F.expr("if(role rlike '^[A-Za-z0-9_]+$', role, concat('\\\\', hex(encode(role, 'UTF-8'))))"))
-    tried = plain.withColumn("__one", F.expr("concat('### ', __r, ': ', text, '</turn>\\n')"))
+    told = plain.withColumn("__try", F.expr(rf"if(startswith(text, '\\') or contains(text, '</turn>') or contains(text, '### '), {_escape('text')}, text)"))
+    tried = told.withColumn("__one", F.expr("concat('### ', __r, ': ', __try, '</turn>\\n')"))
     turn = tried.withColumn(
         "__body",
-        F.expr(f"if({_parse('__one')} = array(named_struct('role', role, 'text', text)), text, {_escape('text')})"),
+        F.expr(f"if({_parse('__one')} = array(named_struct('role', role, 'text', text)), __try, {_escape('text')})"),
     )
     conv = (
         turn.groupBy("conv_id")
@@ -116,7 +118,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
-t AS (SELECT *, CASE WHEN starts_with(text, '\') OR contains(text, '</turn>' || chr(10))
+t AS (SELECT *, CASE WHEN starts_with(text, '\') OR contains(text, '</turn>') OR contains(text, '### ')
                 THEN '\' || replace(replace(replace(text, '\', '\\'), '</turn>', '\t'), '### ', '\h') ELSE text END AS body,
              CASE WHEN regexp_full_match(role, '[A-Za-z0-9_]+') THEN role ELSE '\' || hex(role) END AS r FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns,

@@ -6,21 +6,23 @@ horizontal differencing.
 
 Defined cases: a null or empty text is one row of blanks; a text of any length
 takes as many pages as it needs; repeated rows give equal files; ``tiff_pages``
-gives no row for a null file and raises on bytes that are no TIFF; columns
-beside doc_id and text (or media) are ignored.
+gives no row for a null file and one with an error in place of its pages for a
+file that can't be read; doc_id passes through as it is; columns beside doc_id
+and text (or media) are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import tiff
-from .common import small_batches, table, text_or_empty
+from .common import frame, rows_frame, small_batches, table, text_or_empty
 
 ROW, PAGE_ROWS = 192, 4096
 
@@ -51,46 +53,52 @@ def feature(pixels: np.ndarray) -> str:
 
 
 def tiff_pages(media: DataFrame) -> DataFrame:
-    """A row for each page of the files in column media: doc_id, page, width, height, samples, pixels."""
-
-    def run(frames):
-        for f in frames:
-            rows = [
-                (doc, p.number, p.width, p.height, p.samples, p.pixels.tobytes())
-                for doc, data in zip(f["doc_id"], f["media"]) if data is not None
-                for p in tiff.read_pages(bytes(data))
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "page", "width", "height", "samples", "pixels"])
+    """A row for each page of the files in column media: doc_id, page, width, height, samples, pixels; error where a file can't be read."""
+    schema = "page int, width int, height int, samples int, pixels binary, error string"
+
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for k, data in enumerate(batch.column(1).to_pylist()):
+                if data is None:
+                    continue
+                try:
+                    pages = [(p.number, p.width, p.height, p.samples, p.pixels.tobytes(), None) for p in tiff.read_pages(data)]
+                except (ValueError, struct.error, zlib.error, IndexError, KeyError) as error:
+                    pages = [(None, None, None, None, None, f"{type(error).__name__}: {error}")]
+                at += [k] * len(pages)
+                rows += pages
+            told = rows_frame(rows, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *told.columns], ["doc_id", *told.schema.names])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "media").mapInPandas(run, f"doc_id {kind}, page int, width int, height int, samples int, pixels binary")
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the text as a TIFF file in column media."""
 
-    def run(frames):
-        for f in frames:
-            raw = [t.encode() for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_bytes": [len(r) for r in raw], "media": [encode_payload(padded(r)) for r in raw]})
+    def run(batches):
+        for batch in batches:
+            raw = [t.encode() for t in batch.column(1).to_pylist()]
+            yield frame([batch.column(0), [len(r) for r in raw], [encode_payload(padded(r)) for r in raw]], "doc_id long, n_bytes long, media binary")
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def op7_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
+    result = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def digests(frames):
-        for f in frames:
+    def digests(batches):
+        for batch in batches:
             rows = []
-            for doc, n, data in zip(f["doc_id"], f["n_bytes"], f["media"]):
-                data = bytes(data)
+            for data in batch.column(2).to_pylist():
                 pixels = np.concatenate([p.pixels for p in tiff.read_pages(data)])
                 back = pixels.tobytes()
-                rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(pixels)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(pixels)))
+            told = rows_frame(rows, result)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *told.columns], ["doc_id", "n_bytes", *told.schema.names])
 
-    return text_media(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInPandas(
-        digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    return text_media(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(digests, f"doc_id long, n_bytes long, {result}")

@@ -59,39 +59,50 @@ def _repeat_words() -> Column:
     cost is n log n also where a text repeats one window throughout.
     """
     windows = F.expr(
-        "transform(if(size(__w) < 3, cast(array() as array<string>), slice(__w, 1, size(__w) - 2)),"
-        " (x, i) -> named_struct('h', xxhash64(x, get(__w, i + 1), get(__w, i + 2)), 'i', i))"
+        "transform(if(size(w) < 3, cast(array() as array<string>), slice(w, 1, size(w) - 2)),"
+        " (x, i) -> named_struct('h', xxhash64(x, get(w, i + 1), get(w, i + 2)), 'i', i))"
     )
     return F.sort_array(windows)
 
 
-def quality_features(docs: DataFrame) -> DataFrame:
-    """``docs`` plus the counts that ``RULES`` and the base rule use."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """row, a struct of the caller's columns whatever their names, and the counts."""
     stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
-    step1 = docs.withColumn("__t", F.coalesce(F.col("text"), F.lit("")))
-    step2 = step1.withColumns({
-        "__w": F.array_remove(F.split("__t", WS), ""),
-        "__l": F.expr(r"filter(split(__t, '\n'), x -> x rlike r'[^\x20\x09-\x0D]')"),
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    texts = docs.select(whole, F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    words = texts.withColumns({
+        "w": F.array_remove(F.split("t", WS), ""),
+        "l": F.expr(r"filter(split(t, '\n'), x -> x rlike r'[^\x20\x09-\x0D]')"),
     })
-    step3 = step2.withColumn("__s", _repeat_words())
-    step4 = step3.withColumn(
-        "__p",
+    windows = words.withColumn("s", _repeat_words())
+    places = windows.withColumn(
+        "p",
+        F.expr("sort_array(transform(filter(s, (x, k) -> x.h <=> get(s, k + 1).h or x.h <=> get(s, k - 1).h), x -> x.i))"),
+    )
+    return places.select(
+        "row",
+        F.size("w").cast("long").alias("n_words"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.char_length(F.regexp_replace("t", r"[^!]+", "")).cast("long").alias("n_shouts"),
+        F.expr(f"size(filter(w, x -> lower(x) in ({stops})))").cast("long").alias("n_stop_words"),
+        F.size("l").cast("long").alias("n_lines"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.expr(
-            "sort_array(transform(filter(__s, (x, k) -> x.h <=> get(__s, k + 1).h or x.h <=> get(__s, k - 1).h), x -> x.i))"
-        ),
+            f"aggregate(transform(p, (x, k) -> least({REPEAT_WORDS}, coalesce(get(p, k + 1) - x, {REPEAT_WORDS}))), 0L, (a, x) -> a + x)"
+        ).alias("n_repeat_words"),
     )
-    return step4.withColumns({
-        "n_words": F.size("__w").cast("long"),
-        "word_chars": F.char_length(F.array_join("__w", "")).cast("long"),
-        "n_symbols": F.char_length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_shouts": F.char_length(F.regexp_replace("__t", r"[^!]+", "")).cast("long"),
-        "n_stop_words": F.expr(f"size(filter(__w, x -> lower(x) in ({stops})))").cast("long"),
-        "n_lines": F.size("__l").cast("long"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"),
-        "n_repeat_words": F.expr(
-            f"aggregate(transform(__p, (x, k) -> least({REPEAT_WORDS}, coalesce(get(__p, k + 1) - x, {REPEAT_WORDS}))), 0L, (a, x) -> a + x)"
-        ),
-    }).drop("__t", "__w", "__l", "__s", "__p")
+
+
+def _opened(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The caller's columns, then the new ones, which replace those of their name."""
+    new = [c for c in judged.columns if c != "row"]
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in new), *new)
+
+
+def quality_features(docs: DataFrame) -> DataFrame:
+    """``docs`` plus the counts that ``RULES`` and the base rule use."""
+    return _opened(docs, _counted(docs))
 
 
 def base_failed() -> Column:
@@ -110,13 +121,13 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
+def _judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    return _counted(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``quality_features`` plus ``base_failed`` and ``kept``."""
-    return (
-        quality_features(docs)
-        .withColumn("base_failed", base_failed())
-        .withColumn("kept", ~F.col("base_failed") & compiled(rules))
-    )
+    return _opened(docs, _judged(docs, rules))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
@@ -125,8 +136,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     A generator drops the others: a filter would be pushed below the projection
     and take a copy of every count with it.
     """
-    judged = quality_rules(docs.withColumn("__row", F.struct(*docs.columns)))
-    return judged.select(F.inline(F.when(F.col("kept"), F.array("__row")).otherwise(F.array())))
+    return _judged(docs).select(F.inline(F.when(F.col("kept"), F.array("row")).otherwise(F.array())))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, jaccard_join, line_dedup, media_tiff, packing, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import bpe, chat_format, jaccard_join, line_dedup, media_tiff, packing, quality_rules, sql, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": sql.SUFFIX_DEDUP,
     "op5_quality_rules": quality_rules.sql(),
+    "op8_jaccard_join": sql.JACCARD_JOIN,
     "op9_chat_format": chat_format.SQL,
+    "op10_substring_dedup": sql.SUBSTRING_DEDUP,
 }

@@ -26,11 +26,11 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, text_or_empty
+from .common import frame, materialize, rows_frame, small_batches, table, text_or_empty
 
 SAMPLE, MODEL, PRIOR, LEAST, SURE = 20_000, 1 << 16, 4.0, 5, 5.0
 #: What a token without evidence costs a segment, and the bounds of a token's score.
@@ -48,9 +48,12 @@ def segments(scores: list[tuple[int, float]], gap: float = GAP) -> list[tuple[in
     """All maximal scoring segments (first token, last token, score) of a sparse score sequence.
 
     ``scores`` holds the tokens with evidence in order; every other token
-    counts -gap. Each token enters and leaves the list of candidates once.
+    counts -gap. Each candidate points at the nearest one before it that starts
+    from a lower sum. What a search passes over, later ones never see again, so
+    the steps are linear in the tokens.
     """
     found: list[list[float]] = []  # first, last, sum before, sum after
+    lower: list[int] = []
     total, at = 0.0, -1
     for i, s in scores:
         total -= gap * (i - at - 1)
@@ -59,15 +62,19 @@ def segments(scores: list[tuple[int, float]], gap: float = GAP) -> list[tuple[in
         if s <= 0:
             continue
         new = [i, i, before, total]
-        while found:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
+        j = len(found) - 1
+        while j >= 0:
+            if found[j][2] >= new[2]:
+                j = lower[j]
+                continue
+            if found[j][3] >= new[3]:
                 break
             new[0], new[2] = found[j][0], found[j][2]
-            del found[j:]
+            after = lower[j]
+            del found[j:], lower[j:]
+            j = after
         found.append(new)
+        lower.append(j)
     return [(int(a), int(z), end - start) for a, z, start, end in found]
 
 
@@ -126,13 +133,15 @@ def log_odds(sample: DataFrame, most: int = MODEL) -> dict[str, float]:
     """Features with sure log-odds, from the frequencies over distinct texts of both classes."""
     sample = sample.select("text", "toxic").distinct()
 
-    def counted(frames):
-        for f in frames:
+    schema = "feature string, clean long, toxic long"
+
+    def counted(batches):
+        for batch in batches:
             rows: dict[str, list[int]] = {}
-            for text, toxic in zip(f["text"], f["toxic"]):
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
                 for w in {x for w in set(TOKEN.findall(text.lower())) for x in features(w)}:
                     rows.setdefault(w, [0, 0])[1 if toxic else 0] += 1
-            yield pd.DataFrame([(w, c, t) for w, (c, t) in rows.items()], columns=["feature", "clean", "toxic"])
+            yield rows_frame([(w, c, t) for w, (c, t) in rows.items()], schema)
 
     sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(False, 0), sizes.get(True, 0)
@@ -141,7 +150,7 @@ def log_odds(sample: DataFrame, most: int = MODEL) -> dict[str, float]:
     rate = (F.col("t") + F.col("c")) / F.lit(float(clean + toxic))
     prior = F.lit(PRIOR) * rate
     got = (
-        sample.mapInPandas(counted, "feature string, clean long, toxic long")
+        sample.mapInArrow(counted, schema)
         .groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
         .where(F.col("c") + F.col("t") >= LEAST)
         .select(
@@ -160,20 +169,22 @@ def log_odds(sample: DataFrame, most: int = MODEL) -> dict[str, float]:
 def calibrate(model: Model, sample: DataFrame) -> Model:
     """Fit the extreme-value law to clean texts and the logistic weights to both kinds."""
 
-    def best(frames):
-        for f in frames:
+    sample = sample.select("text", "toxic")
+
+    def best(batches):
+        for batch in batches:
             rows = []
-            for text, toxic in zip(f["text"], f["toxic"]):
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
                 hits, n = model.tokens(text)
                 rows.append((max((s for *_, s in segments(hits)), default=0.0), n, int(toxic > 0)))
-            yield pd.DataFrame(rows, columns=["best", "n", "toxic"])
+            yield rows_frame(rows, "best double, n int, toxic int")
 
-    def told(frames):
-        for f in frames:
-            rows = [(*model.evidence(text), int(toxic > 0)) for text, toxic in zip(f["text"], f["toxic"])]
-            yield pd.DataFrame(rows, columns=["best", "total", "toxic"])
+    def told(batches):
+        for batch in batches:
+            rows = [(*model.evidence(text), int(toxic > 0)) for text, toxic in zip(*(c.to_pylist() for c in batch.columns))]
+            yield rows_frame(rows, "best double, total double, toxic int")
 
-    seen = sample.mapInPandas(best, "best double, n int, toxic int").toPandas()
+    seen = sample.mapInArrow(best, "best double, n int, toxic int").toPandas()
     clean = seen[(seen.toxic == 0) & (seen.n > 0)].sort_values(["best", "n"])
     if len(clean) > 1:
         # score = location + scale (ln n + Gumbel): the moments of score against ln n give both
@@ -181,7 +192,7 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
         s = clean.best.to_numpy(float)
         model.scale = max(0.05, math.sqrt(6) / math.pi * float(np.std(s)) / math.sqrt(1 + 6 / math.pi**2 * float(np.var(x))))
         model.location = float(np.mean(s) - model.scale * (np.mean(x) + 0.5772156649))
-    rows = sample.mapInPandas(told, "best double, total double, toxic int").toPandas().sort_values(["best", "total", "toxic"])
+    rows = sample.mapInArrow(told, "best double, total double, toxic int").toPandas().sort_values(["best", "total", "toxic"])
     if rows.toxic.nunique() < 2:
         return model
     a = np.column_stack([np.ones(len(rows)), np.log1p(rows.best), np.log1p(rows.total)])
@@ -209,19 +220,22 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
     """A row for each significant segment: doc_id, first and last token, score, surprise, passage."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames):
+    def run(batches):
         m = held.value
-        for f in frames:
-            rows = []
-            for doc, text in zip(f["doc_id"], f["text"]):
+        for batch in batches:
+            at, rows = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 hits, n = m.tokens(text)
                 for a, z, s in segments(hits):
                     if (told := m.surprise(s, n)) > -math.log10(SIGNIFICANT):
-                        rows.append((doc, a, z, s, told, " ".join(TOKEN.findall(text.lower())[a : z + 1])))
-            yield pd.DataFrame(rows, columns=["doc_id", "first", "last", "score", "surprise", "passage"])
+                        at.append(k)
+                        rows.append((a, z, s, told, " ".join(TOKEN.findall(text.lower())[a : z + 1])))
+            told_ = rows_frame(rows, "first int, last int, score double, surprise double, passage string")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *told_.columns], ["doc_id", *told_.schema.names])
+        m.cache.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
         run, f"doc_id {kind}, first int, last int, score double, surprise double, passage string"
     )
 
@@ -230,13 +244,14 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each document."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames):
+    def run(batches):
         m = held.value
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": [m.score(t) for t in f["text"]]})
+        for batch in batches:
+            yield frame([batch.column(0), [m.score(t) for t in batch.column(1).to_pylist()]], "doc_id long, score double")
+        m.cache.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

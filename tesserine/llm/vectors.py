@@ -98,7 +98,14 @@ class Words:
         return {}
 
     def word_hash(self, lane: int = 0) -> np.ndarray:
-        return _between(_sums(_bytes_table(lane)[self.buffer], lane), self.start, self.end, lane)
+        """Of each word; a word's hash doesn't depend on its place, so a long buffer is taken in slices."""
+        out, lo = np.empty(len(self.start), U), 0
+        while lo < len(out):
+            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + 4 * CHUNK, side="right")))
+            a, b = self.start[lo], self.end[hi - 1]
+            out[lo:hi] = _between(_sums(_bytes_table(lane)[self.buffer[a:b]], lane), self.start[lo:hi] - a, self.end[lo:hi] - a, lane)
+            lo = hi
+        return out
 
     def windows(self, k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every run of k words inside one text."""

@@ -6,14 +6,21 @@ import re
 from collections import Counter, defaultdict
 
 
-def line_dedup(docs: dict[int, str | None]) -> dict[int, tuple[int, int, str]]:
-    leaves: dict[tuple, list[list]] = defaultdict(list)  # [template, [(doc, line)]]
+def line_dedup(docs: dict[int, str | None], least: int = 5, depth: int = 4) -> dict[int, tuple[int, int, str]]:
+    leaves: dict[tuple, list[list]] = defaultdict(list)  # [template, [(doc, line)], lines]
     for d in sorted(docs):
         for i, line in enumerate((docs[d] or "").split("\n")):
-            words = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0d]+", line)]
-            if len(words) < 5 or 2 * words.count("<*>") > len(words):
+            plain = re.findall(r"[^\x20\x09-\x0d]+", line)
+            words = ["<*>" if re.search("[0-9]", w) else w for w in plain]
+            if len(words) < max(1, least):
                 continue
-            group = leaves[len(words), *words[:4]]
+            if 2 * words.count("<*>") > len(words):  # word for word
+                group = leaves["=", *plain]
+                if not group:
+                    group.append([plain, [], {tuple(plain)}])
+                group[0][1].append((d, i))
+                continue
+            group = leaves[len(words), *words[: depth if len(words) > 4 else 4]]
             exact = next((g for g in group if tuple(words) in g[2]), None)
             if exact is None:
                 best, most = None, -1

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -83,21 +84,15 @@ def test_repeated_rows_stay_alike(spark):
 
 
 @pytest.mark.parametrize("wide", [2048, 1])
-def test_suffix_dedup(spark, docs, frame, wide, monkeypatch):
+def test_suffix_dedup(spark, docs, frame, wide, monkeypatch, tmp_path):
     monkeypatch.setattr(suffix_dedup, "WIDE", wide)
     monkeypatch.setattr(suffix_dedup.anchor_classes, "__defaults__", (suffix_dedup.LENGTH, suffix_dedup.GRAM, wide))
-    want = brute.suffix_dedup(docs)
-    own, gone, _ = suffix_dedup.removals(frame)
-
-    def marks(key, left, right):
-        import pandas as pd
-
-        of = suffix_dedup._gone(right)
-        return pd.DataFrame([(d, "".join("01"[int(x)] for x in of(d, len(t.encode())))) for d, t in zip(left["doc"].tolist(), left["text"])], columns=["doc", "m"])
-
-    got = {r.doc: r.m for r in own.groupBy("own").cogroup(gone.groupBy("own")).applyInPandas(marks, "doc long, m string").collect()}
-    for d, (_, g) in want.items():
-        assert got[d] == "".join("01"[int(x)] for x in g), d
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in suffix_dedup.op3_suffix_dedup(spark, str(tmp_path)).collect()}
+    for d, (raw, g) in brute.suffix_dedup(docs).items():
+        kept = bytes(x for x, out in zip(raw, g) if not out)
+        spans = sum(out and not before for out, before in zip(g, [False, *g]))
+        assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(raw), sum(g), spans, hashlib.sha256(kept).hexdigest()), d
 
 
 def test_deep_shallow():
