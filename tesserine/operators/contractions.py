@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,13 @@ def einsum(subscripts: str, *arrays: SparkArray) -> SparkArray:
     """Labels are columns: repeated ones filter, shared ones join, those not in the output are summed.
 
     Operands are taken smallest first, preferring one that shares a label, and a
-    label that nothing else needs is summed before the next join.
+    label that nothing else needs is summed before the next join. Complex
+    operands are multiplied and summed by their parts.
     """
     terms, out = _labels(subscripts, [a.rank for a in arrays])
+    is_complex = any(a.dtype.startswith("complex") for a in arrays)
+    times = ufuncs.complex_multiply if is_complex else lambda x, y: F.col(x) * F.col(y)
+    total = ufuncs.complex(F.sum("v.re"), F.sum("v.im")) if is_complex else F.sum("v")
     dims: dict[str, int] = {}
     frames: list[tuple[DataFrame, set[str], int]] = []
     for a, t in zip(arrays, terms):
@@ -53,7 +59,8 @@ def einsum(subscripts: str, *arrays: SparkArray) -> SparkArray:
             else:
                 seen[c] = k
                 cols.append(F.col(f"i{k}").alias(f"_{c}"))
-        frames.append((df.select(*cols, F.col("v").cast("double").alias("v")), set(seen), a.size))
+        v = F.col("v") if a.dtype.startswith("complex") else ufuncs.complex("v") if is_complex else F.col("v").cast("double")
+        frames.append((df.select(*cols, v.alias("v")), set(seen), a.size))
     frames.sort(key=lambda f: f[2])
     df, have, cells = frames.pop(0)
     while frames:
@@ -62,16 +69,17 @@ def einsum(subscripts: str, *arrays: SparkArray) -> SparkArray:
         shared = sorted(f"_{c}" for c in labels & have)
         right = other.withColumnRenamed("v", "w")
         left = small(df, (cells,))
-        df = (left.join(small(right, (n,)), shared) if shared else left.crossJoin(small(right, (n,)))).withColumn("v", F.col("v") * F.col("w")).drop("w")
+        df = (left.join(small(right, (n,)), shared) if shared else left.crossJoin(small(right, (n,)))).withColumn("v", times("v", "w")).drop("w")
         have |= labels
         needed = set(out).union(*(f[1] for f in frames))
         if have - needed:
             have &= needed
-            df = df.groupBy(*(f"_{c}" for c in sorted(have))).agg(F.sum("v").alias("v"))
+            df = df.groupBy(*(f"_{c}" for c in sorted(have))).agg(total.alias("v"))
         cells = size([dims[c] for c in have])
     if have - set(out):
-        df = df.groupBy(*(f"_{c}" for c in out)).agg(F.sum("v").alias("v"))
-    return SparkArray(df.select(*(F.col(f"_{c}").alias(n) for c, n in zip(out, names(len(out)))), "v"), [dims[c] for c in out])
+        df = df.groupBy(*(f"_{c}" for c in out)).agg(total.alias("v"))
+    cells = df.select(*(F.col(f"_{c}").alias(n) for c, n in zip(out, names(len(out)))), "v")
+    return SparkArray(cells, [dims[c] for c in out], "complex128" if is_complex else "float64")
 
 
 def tensordot(a: SparkArray, b: SparkArray, axes: int | tuple[Sequence[int], Sequence[int]] = 2) -> SparkArray:
@@ -83,11 +91,40 @@ def tensordot(a: SparkArray, b: SparkArray, axes: int | tuple[Sequence[int], Seq
     return einsum(f"{''.join(left)},{''.join(right)}->{''.join(free)}", a, b)
 
 
+#: Cells of a product, and of what a task multiplies at once, where matrices are multiplied by blocks of the shared axis.
+PRODUCT_CELLS, BLOCK_CELLS = 1 << 16, 1 << 20
+
+
+def _by_blocks(a: SparkArray, b: SparkArray) -> SparkArray:
+    """The product of a wide and a tall matrix: a partial product for each block of the shared axis, then their sum.
+
+    Cells are shuffled once; no pair of them is joined.
+    """
+    n, m = a.shape[0], b.shape[1]
+    width = max(1, BLOCK_CELLS // max(1, n + m))
+    left = a.df.select(F.floor(F.col("i1") / width).alias("block"), F.lit(True).alias("left"), F.col("i0").alias("at"), F.col("i1").alias("k"), "v")
+    right = b.df.select(F.floor(F.col("i0") / width).alias("block"), F.lit(False).alias("left"), F.col("i1").alias("at"), F.col("i0").alias("k"), "v")
+
+    def product(group: pa.Table) -> pa.Table:
+        own, at, k, v = (group[c].to_numpy() for c in ("left", "at", "k", "v"))
+        own, k = own.astype(bool), k % width
+        x, y = np.zeros((n, width)), np.zeros((width, m))
+        x[at[own], k[own]], y[k[~own], at[~own]] = v[own], v[~own]
+        cells = (x @ y).ravel()
+        row, column = np.divmod(np.arange(n * m), max(m, 1))
+        return pa.table({"i0": row, "i1": column, "v": cells})
+
+    parts = left.union(right).groupBy("block").applyInArrow(product, "i0 bigint, i1 bigint, v double")
+    return SparkArray(parts.groupBy("i0", "i1").agg(F.sum("v").alias("v")), (n, m))
+
+
 def matmul(a: SparkArray, b: SparkArray) -> SparkArray:
     if not a.rank or not b.rank:
         raise ValueError("a matrix product takes no scalars")
     x, y = "k" if a.rank == 1 else "ik", "k" if b.rank == 1 else "kj"
     out = x.replace("k", "") + y.replace("k", "")
+    if a.rank == b.rank == 2 and a.shape[1] == b.shape[0] and a.shape[0] * b.shape[1] <= PRODUCT_CELLS and a.dtype == b.dtype == "float64":
+        return _by_blocks(a, b)
     if a.rank <= 2 and b.rank <= 2:
         return einsum(f"{x},{y}->{out}", a, b)
     lead = broadcast_shapes(a.shape[:-2], b.shape[:-2])
@@ -223,10 +260,39 @@ def pdist(a: SparkArray, metric: str = "euclidean") -> SparkArray:
 def convolve(a: SparkArray, b: SparkArray, mode: str = "full") -> SparkArray:
     if a.rank != b.rank or mode not in ("full", "valid", "same"):
         raise ValueError("equal ranks; full, valid or same")
+    if a.rank == 1 and 0 < b.size <= KERNEL and a.size and a.dtype == b.dtype == "float64":
+        return _cut(_along_line(a, b), a, b, mode)
     right = small(b.df.select(*(F.col(c).alias(f"j{k}") for k, c in enumerate(b.index)), F.col("v").alias("w")), b.shape)
     at = [(F.col(f"i{k}") + F.col(f"j{k}")).alias(f"i{k}") for k in range(a.rank)]
     full = a.df.crossJoin(right).select(*at, (F.col("v") * F.col("w")).alias("v")).groupBy(*a.index).agg(F.sum("v").alias("v"))
-    whole = SparkArray(full, [x + y - 1 for x, y in zip(a.shape, b.shape)])
+    return _cut(SparkArray(full, [x + y - 1 for x, y in zip(a.shape, b.shape)]), a, b, mode)
+
+
+#: Cells of a kernel that every block of a line is convolved with, and of a block.
+KERNEL, LINE = 1 << 16, 1 << 17
+
+
+def _along_line(a: SparkArray, b: SparkArray) -> SparkArray:
+    """The full convolution of a vector, block by block: a block takes the last cells of the one before, as many as the kernel reaches."""
+    n, m = a.size, b.size
+    reach = F.array_distinct(F.array(F.floor(F.col("i0") / LINE), F.floor((F.col("i0") + m - 1) / LINE)))
+    blocks = a.df.select(F.explode(reach).alias("block"), "i0", "v").groupBy("block").agg(F.collect_list(F.struct("i0", "v")).alias("cells"))
+    kernel = b.df.agg(F.transform(F.sort_array(F.collect_list(F.struct("i0", "v"))), lambda c: c["v"]).alias("kernel"))
+
+    def run(batches):
+        for batch in batches:
+            for block, cells, weights in zip(*(c.to_pylist() for c in batch.columns)):
+                first = block * LINE - (m - 1)
+                x = np.zeros(LINE + m - 1)
+                for c in cells:
+                    x[c["i0"] - first] = c["v"]
+                y = np.convolve(x, weights, "valid")[: n + m - 1 - block * LINE]
+                yield pa.RecordBatch.from_pydict({"i0": block * LINE + np.arange(len(y)), "v": y})
+
+    return SparkArray(blocks.crossJoin(F.broadcast(kernel)).mapInArrow(run, "i0 bigint, v double"), (n + m - 1,))  # one row
+
+
+def _cut(whole: SparkArray, a: SparkArray, b: SparkArray, mode: str) -> SparkArray:
     if mode == "full":
         return whole
     if mode == "same":

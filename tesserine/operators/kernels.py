@@ -30,26 +30,31 @@ def _cells(values, is_complex: bool):
     return [{"re": float(z.real), "im": float(z.imag)} for z in values] if is_complex else values
 
 
-def along_rows(a: SparkArray, f: Callable[[np.ndarray], np.ndarray], width: int, out_complex: bool, axis: int = -1) -> SparkArray:
-    """``f`` on every vector along an axis: one group by the other coordinates, then vectorised batches."""
+def along_rows(a: SparkArray, f: Callable[[np.ndarray], np.ndarray], width: int, out_complex: bool, axis: int = -1, whole: bool = False) -> SparkArray:
+    """``f`` on every vector along an axis: one group by the other coordinates, then vectorised batches.
+
+    A vector is one row, so its length is checked; ``whole`` keeps 64-bit integers.
+    """
     axis = axis_of(axis, a.rank)
+    if max(a.shape[axis], width) > MATRIX_CELLS:
+        raise ValueError(f"a vector of {a.shape[axis]} cells doesn't fit one task")
     if axis != a.rank - 1:
-        return along_rows(a.moveaxis(axis, -1), f, width, out_complex).moveaxis(-1, axis)
+        return along_rows(a.moveaxis(axis, -1), f, width, out_complex, whole=whole).moveaxis(-1, axis)
     packed, lead, n = a.packed_rows(), a.index[:-1], a.shape[-1]
     is_complex = a.dtype.startswith("complex")
 
     def run(frames):
         for frame in frames:
-            rows = [np.array([complex(c["re"], c["im"]) for c in v]) if is_complex else np.asarray(v, float) for v in frame["v"]]
+            rows = [np.array([complex(c["re"], c["im"]) for c in v]) if is_complex else np.asarray(v, np.int64 if whole else float) for v in frame["v"]]
             out = f(np.stack(rows) if rows else np.zeros((0, n)))
             frame["v"] = [_cells(r, out_complex) if out_complex else r for r in out]
             yield frame
 
-    kind = COMPLEX if out_complex else "double"
+    kind = COMPLEX if out_complex else "bigint" if whole else "double"
     schema = "".join(f"{c} bigint, " for c in lead) + f"v array<{kind}>"
     done = packed.mapInPandas(run, schema)
     cells = done.select(*lead, F.posexplode("v").alias("__p", "v")).select(*lead, F.col("__p").cast("bigint").alias(f"i{len(lead)}"), "v")
-    return SparkArray(cells, (*a.shape[:-1], width), "complex128" if out_complex else "float64")
+    return SparkArray(cells, (*a.shape[:-1], width), "complex128" if out_complex else "int64" if whole else "float64")
 
 
 #: Running operators without a block scan, by numpy's accumulate.
@@ -60,14 +65,14 @@ ACCUMULATE = {
 
 
 def accumulate(a: SparkArray, op: str, axis: int = 0) -> SparkArray:
-    """The inclusive scan of a reducible operator along an axis."""
+    """The inclusive scan of a reducible operator along an axis; operators on integers keep them."""
     from .scans import cumulative
 
     simple = {"add": "sum", "multiply": "prod", "minimum": "min", "maximum": "max"}.get(op)
     if simple:
         return cumulative(a, simple, axis)
     f, whole = ACCUMULATE[op], op in ("gcd", "lcm", "bitwiseAnd", "bitwiseOr", "bitwiseXor")
-    return along_rows(a, lambda x: f.accumulate(x.astype(np.int64) if whole else x, axis=1).astype(float), a.shape[axis], False, axis)
+    return along_rows(a, lambda x: f.accumulate(x, axis=1) if whole else f.accumulate(x, axis=1).astype(float), a.shape[axis], False, axis, whole)
 
 
 def fft(a: SparkArray, n: int | None = None, axis: int = -1, ortho: bool = False) -> SparkArray:

@@ -156,7 +156,9 @@ def reduced(a: SparkArray, aggregate: Column, axis=None, keepdims: bool = False,
 
 
 def reduce(a: SparkArray, how: str, axis=None, keepdims: bool = False, initial=None, **options) -> SparkArray:
-    """By a name of AGGREGATES or a reducible operator of REDUCERS."""
+    """By a name of AGGREGATES or a reducible operator of REDUCERS; of complex cells sum, mean, all, any and count_nonzero."""
+    if a.dtype.startswith("complex"):
+        return _reduce_complex(a, how, axis, keepdims)
     make = AGGREGATES.get(how) or REDUCERS.get(how)
     if make is None:
         raise ValueError(f"{how} doesn't reduce")
@@ -167,6 +169,16 @@ def reduce(a: SparkArray, how: str, axis=None, keepdims: bool = False, initial=N
     return got if initial is None else got.map(lambda v: ufuncs.BINARY[how](F.lit(initial), v))
 
 
+def _reduce_complex(a: SparkArray, how: str, axis, keepdims: bool) -> SparkArray:
+    if how in ("all", "any", "count_nonzero"):
+        cells = a.map(lambda v: ((v["re"] != 0) | (v["im"] != 0)).cast("int"), "int64")
+        return reduce(cells, how, axis, keepdims)
+    parts = {"sum": F.sum, "add": F.sum, "mean": F.avg}.get(how)
+    if parts is None:
+        raise ValueError(f"{how} doesn't reduce complex cells")
+    return reduced(a, ufuncs.complex(F.coalesce(parts("v.re"), F.lit(0.0)), F.coalesce(parts("v.im"), F.lit(0.0))), axis, keepdims, a.dtype)
+
+
 def arg_reduce(a: SparkArray, how: str, axis: int | None = None, keepdims: bool = False) -> SparkArray:
     make = {"argmax": agg_argmax, "argmin": agg_argmin}[how]
     if axis is None:
@@ -186,10 +198,19 @@ def average(a: SparkArray, weights: SparkArray | None = None, axis=None) -> tupl
 
 
 def cov(m: SparkArray, rowvar: bool = True, bias: bool = False, ddof: int | None = None, fweights: SparkArray | None = None, aweights: SparkArray | None = None) -> SparkArray:
-    """Covariances of the rows (columns if not rowvar): one join on the observation, one aggregate of sums."""
+    """Covariances of the rows (columns if not rowvar).
+
+    Without weights a product of the centred matrix with itself, else one join
+    on the observation and one aggregate of sums.
+    """
     m = m.reshape(1, -1) if m.rank == 1 else m if rowvar else m.transpose()
     k, n = m.shape
     ddof = (0 if bias else 1) if ddof is None else ddof
+    if fweights is None and aweights is None and m.dtype == "float64":
+        from .contractions import matmul
+
+        centred = m - reduce(m, "mean", 1, True)
+        return matmul(centred, centred.transpose()).map(lambda v: v / float(n - ddof) if n > ddof else F.lit(NAN))
     x = m.df.select(F.col("i0").alias("r"), F.col("i1").alias("o"), F.col("v").cast("double").alias("x"), F.lit(1.0).alias("f"), F.lit(1.0).alias("a"))
     for w, name in ((fweights, "f"), (aweights, "a")):
         if w is not None:
@@ -256,29 +277,62 @@ def quantile_columns(q: float, method: str, n: Column) -> tuple[Column, Column]:
     return j, w
 
 
+def _leading(x: Column) -> Column:
+    """A whole number that never falls as x rises: its sign, power of two and the next 12 bits; null for a null.
+
+    Rounding may move the largest values below a power of two to the key before
+    the next power's first, which keeps the order.
+    """
+    size = F.abs(x)
+    power = F.floor(F.log2(size))
+    part = F.floor((size / F.pow(F.lit(2.0), power) - 1) * 4096)
+    key = F.when(size == float("inf"), F.lit(1 << 25)).otherwise((power + 1100) * 8192 + part)
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * key).cast("bigint")
+
+
 def quantile(df: DataFrame, value: str, q: float, method: str = "linear", by: tuple[str, ...] = ()) -> DataFrame:
     """by columns and v: a quantile of each group; NaN if the group holds one.
 
-    Values are counted by distinct value first, so ties and copies are one row,
-    and the ranks of distinct values come from a blocked scan inside the group.
+    Values are counted by their leading bits first, a few thousand counts for
+    each power of two. Only the values that share their leading bits with one of
+    the two ranks asked for are then counted one by one, so no task sorts a
+    group. ``df`` is read twice.
     """
     if not 0 <= q <= 1:
         raise ValueError("a quantile lies between 0 and 1")
     from pyspark.sql import Window
 
-    counted = df.groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
+    cells = df.select(*by, F.col(value).cast("double").alias("__x"))
+    cells = cells.withColumn("__bits", F.when(~F.isnan("__x"), _leading(F.col("__x"))))
+    counted = cells.groupBy(*by, "__bits").agg(F.count("*").alias("__c"), F.max(F.isnan("__x")).alias("__nan"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counted.withColumn("upto", F.sum("c").over(w.orderBy("x"))).withColumn("n", F.sum("c").over(w)).withColumn("bad", F.max(F.isnan("x")).over(w))
-    j, g = quantile_columns(q, method, F.col("n"))
-    low = F.least(F.greatest(j, F.lit(0)), F.col("n") - 1)
-    high = F.least(F.greatest(j + 1, F.lit(0)), F.col("n") - 1)
-    at = lambda r: F.max(F.when((F.col("upto") > r) & (F.col("upto") - F.col("c") <= r), F.col("x")))
-    spots = ranked.withColumns({"__low": low, "__high": high, "__g": g})
-    out = spots.groupBy(*by).agg(at(F.col("__low")).alias("__a"), at(F.col("__high")).alias("__b"), F.first("__g").alias("__w"), F.first("bad").alias("__bad"))
-    between = F.when(F.col("__w") == 0, F.col("__a")).otherwise(F.col("__a") * (1 - F.col("__w")) + F.col("__b") * F.col("__w"))
+    ranked = counted.withColumns({"__upto": F.sum("__c").over(w.orderBy("__bits")), "__n": F.sum("__c").over(w), "__bad": F.coalesce(F.max("__nan").over(w), F.lit(False))})
+    j, share = quantile_columns(q, method, F.col("__n"))
+    ends = ranked.select(
+        *by, "__bits", (F.col("__upto") - F.col("__c")).alias("__base"), "__upto", "__bad", share.alias("__share"),
+        F.least(F.greatest(j, F.lit(0)), F.col("__n") - 1).alias("__low"), F.least(F.greatest(j + 1, F.lit(0)), F.col("__n") - 1).alias("__high"),
+    )
+    holds = lambda r: (F.col("__upto") > F.col(r)) & (F.col("__base") <= F.col(r))
+    told = ["__base", "__bad", "__share", "__low", "__high"]
+    spots = ends.where(holds("__low") | holds("__high")).select(*(F.col(c).alias(f"__of_{c}") for c in (*by, "__bits")), *told)
+    same = reduce_and([F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*by, "__bits")])
+    near = cells.join(spots if by else F.broadcast(spots), same)  # without groups two rows at most
+    single = near.groupBy(*by, "__bits", "__x").agg(F.count("*").alias("__c"), *(F.first(c).alias(c) for c in told))
+    placed = single.withColumn("__upto", F.col("__base") + F.sum("__c").over(Window.partitionBy(*by, "__bits").orderBy("__x")))
+    placed = placed.withColumn("__base", F.col("__upto") - F.col("__c"))
+    at = lambda r: F.max(F.when(holds(r), F.col("__x")))
+    out = placed.groupBy(*by).agg(at("__low").alias("__a"), at("__high").alias("__b"), F.first("__share").alias("__share"), F.first("__bad").alias("__bad"))
+    between = F.when((F.col("__share") == 0) | (F.col("__a") == F.col("__b")), F.col("__a")).when(F.col("__share") == 1, F.col("__b")).otherwise(F.col("__a") * (1 - F.col("__share")) + F.col("__b") * F.col("__share"))
     return out.select(*by, F.when(F.col("__bad"), F.lit(NAN)).otherwise(between).alias("v"))
 
 
+def reduce_and(terms: list[Column]) -> Column:
+    out = terms[0]
+    for t in terms[1:]:
+        out &= t
+    return out
+
+
 def quantile_array(a: SparkArray, q: float, axis=None, method: str = "linear", keepdims: bool = False) -> SparkArray:
     gone = set(axes_of(axis, a.rank))
     if a.size == 0:

@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import matrix_queries
 from .functions import masked, symbolic
 from .functions import ufuncs as u
 from .operators import contractions as con
 from .operators import kernels as ker
+from .operators import optimize
 from .operators import ordering as order
 from .operators import polynomials as poly
 from .operators import random as rnd
 from .operators import reductions as red
 from .operators import scans, shaping
+from .plans import storage
 from .plans.array import SparkArray
+from .sources import files
 from .streaming import tuner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,7 +276,7 @@ def trapz(spark, sf_dir):
     return scans.trapz(_events(spark, sf_dir)).df.select(F.round("v", 3).alias("v"))
 
 
-@query("unwrap", f"SELECT i0, round(v * 0.01, 6) AS v FROM ({_E}) WHERE FALSE UNION ALL SELECT i0, round(i0 * 2.5, 6) FROM ({_E})")
+@query("unwrap", f"SELECT i0, round(i0 * 2.5, 6) AS v FROM ({_E})")
 def unwrap(spark, sf_dir):
     e = _events(spark, sf_dir)
     return scans.unwrap(SparkArray(e.df.select("i0", (F.col("i0") * 2.5 - 2 * math.pi * F.floor(F.col("i0") * 2.5 / (2 * math.pi))).alias("v")), e.shape)).df.select("i0", F.round("v", 6).alias("v"))
@@ -321,27 +327,27 @@ for _name, _f, _sql in (
     ("transpose", lambda m: m.transpose(), "SELECT i1 AS i0, i0 AS i1, v FROM m"), ("slice", lambda m: m[[slice(10, 50, 5), slice(None, None, -1)]], "SELECT CAST((i0 - 10) / 5 AS BIGINT) AS i0, 63 - i1 AS i1, v FROM m WHERE i0 >= 10 AND i0 < 50 AND (i0 - 10) % 5 = 0"),
     ("flip", lambda m: m.flip(1), "SELECT i0, 63 - i1 AS i1, v FROM m"), ("reshape", lambda m: m.reshape(-1, 32), "SELECT i0 * 2 + i1 // 32 AS i0, i1 % 32 AS i1, v FROM m"), ("flatten", lambda m: m.flatten(), "SELECT i0 * 64 + i1 AS i0, v FROM m"),
     ("take", lambda m: m.take([5, 3, 3], 0), "SELECT x.k AS i0, i1, v FROM m JOIN (VALUES (0, 5), (1, 3), (2, 3)) x(k, j) ON i0 = j"), ("tril", lambda m: shaping.tril(m), "SELECT i0, i1, CASE WHEN i1 <= i0 THEN v ELSE 0 END AS v FROM m"), ("triu", lambda m: shaping.triu(m), "SELECT i0, i1, CASE WHEN i1 >= i0 THEN v ELSE 0 END AS v FROM m"),
-    ("diagonal", lambda m: shaping.diagonal(m), "SELECT i0, v FROM m WHERE i0 = i1"), ("concatenate", lambda m: shaping.concatenate([m[:3], m[:2]]), "SELECT i0, i1, v FROM m WHERE i0 < 3 UNION ALL SELECT i0 + 3, i1, v FROM m WHERE i0 < 2"), ("stack", lambda m: shaping.stack([m[0], m[1]]), "SELECT i0, i1, v FROM m WHERE i0 < 2"),
-    ("tile", lambda m: shaping.tile(m[:2], [2, 1]), "SELECT i0 + 2 * r AS i0, i1, v FROM m, (VALUES (0), (1)) x(r) WHERE i0 < 2"), ("repeat", lambda m: shaping.repeat(m[:2], 2, 0), "SELECT i0 * 2 + r AS i0, i1, v FROM m, (VALUES (0), (1)) x(r) WHERE i0 < 2"),
-    ("pad", lambda m: shaping.pad(m[:2], [(1, 0), (0, 0)], "edge"), "SELECT i0 + 1 AS i0, i1, v FROM m WHERE i0 < 2 UNION ALL SELECT 0, i1, v FROM m WHERE i0 = 0"), ("split", lambda m: shaping.split(m, 2, 1)[1], "SELECT i0, i1 - 32 AS i1, v FROM m WHERE i1 >= 32"), ("rot90", lambda m: m[:64].rot90(), "SELECT 63 - i1 AS i0, i0 AS i1, v FROM m WHERE i0 < 64"),
+    ("diagonal", lambda m: shaping.diagonal(m), "SELECT i0, v FROM m WHERE i0 = i1"),
+
+    ("split", lambda m: shaping.split(m, 2, 1)[1], "SELECT i0, i1 - 32 AS i1, v FROM m WHERE i1 >= 32"),
     ("sort_rows", lambda m: order.sort(m), "SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v, i1) - 1 AS i1, v FROM m"), ("cumsum_rows", lambda m: scans.cumulative(m, "sum", 1).map(lambda v: F.round(v, 5)), "SELECT i0, i1, round(sum(v) OVER (PARTITION BY i0 ORDER BY i1), 5) AS v FROM m"),
-    ("outer", lambda m: con.outer(m[0], m[1]).map(lambda v: F.round(v, 6)), "SELECT a.i1 AS i0, b.i1 AS i1, round(a.v * b.v, 6) AS v FROM m a, m b WHERE a.i0 = 0 AND b.i0 = 1"), ("kron", lambda m: con.kron(m[:2, :2], m[2:4, :2]).map(lambda v: F.round(v, 6)), "SELECT a.i0 * 2 + b.i0 - 2 AS i0, a.i1 * 2 + b.i1 AS i1, round(a.v * b.v, 6) AS v FROM m a, m b WHERE a.i0 < 2 AND b.i0 IN (2, 3) AND a.i1 < 2 AND b.i1 < 2"),
+
     ("matmul", lambda m: con.matmul(m.transpose(), m).map(lambda v: F.round(v, 5)), "SELECT a.i1 AS i0, b.i1 AS i1, round(sum(a.v * b.v), 5) AS v FROM m a JOIN m b USING (i0) GROUP BY 1, 2"), ("einsum", lambda m: con.einsum("ij,ij->i", m, m).map(lambda v: F.round(v, 5)), "SELECT i0, round(sum(v * v), 5) AS v FROM m GROUP BY i0"),
-    ("tensordot", lambda m: con.tensordot(m, m, ([1], [1])).map(lambda v: F.round(v, 5)), "SELECT a.i0 AS i0, b.i0 AS i1, round(sum(a.v * b.v), 5) AS v FROM m a JOIN m b USING (i1) GROUP BY 1, 2"), ("inner", lambda m: con.inner(m[:5], m[5:9]).map(lambda v: F.round(v, 5)), "SELECT a.i0 AS i0, b.i0 - 5 AS i1, round(sum(a.v * b.v), 5) AS v FROM m a JOIN m b USING (i1) WHERE a.i0 < 5 AND b.i0 BETWEEN 5 AND 8 GROUP BY 1, 2"),
-    ("multi_dot", lambda m: con.multi_dot([m[:3], m.transpose(), m[:, :2]]).map(lambda v: F.round(v, 4)), "SELECT a.i0, c.i1, round(sum(a.v * b.v * c.v), 4) AS v FROM m a JOIN m b ON a.i1 = b.i1 JOIN m c ON c.i0 = b.i0 WHERE a.i0 < 3 AND c.i1 < 2 GROUP BY 1, 2"),
-    ("cdist", lambda m: con.cdist(m[:20], m[20:30]).map(lambda v: F.round(v, 5)), "SELECT a.i0, b.i0 - 20 AS i1, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 5) AS v FROM m a JOIN m b USING (i1) WHERE a.i0 < 20 AND b.i0 BETWEEN 20 AND 29 GROUP BY 1, 2"), ("pdist", lambda m: con.pdist(m[:8], "chebyshev").map(lambda v: F.round(v, 5)), "SELECT 8 * a.i0 - a.i0 * (a.i0 + 1) // 2 + b.i0 - a.i0 - 1 AS i0, round(max(abs(a.v - b.v)), 5) AS v FROM m a JOIN m b USING (i1) WHERE a.i0 < b.i0 AND b.i0 < 8 GROUP BY a.i0, b.i0"),
+    ("tensordot", lambda m: con.tensordot(m, m, ([1], [1])).map(lambda v: F.round(v, 5)), "SELECT a.i0 AS i0, b.i0 AS i1, round(sum(a.v * b.v), 5) AS v FROM m a JOIN m b USING (i1) GROUP BY 1, 2"),
+
+
     ("norm_rows", lambda m: red.norm(m, None, 1).map(lambda v: F.round(v, 5)), "SELECT i0, round(sqrt(sum(v * v)), 5) AS v FROM m GROUP BY i0"), ("argmax_rows", lambda m: red.arg_reduce(m, "argmax", 1), "SELECT i0, arg_max(i1, (v, -i1)) AS v FROM m GROUP BY i0"), ("broadcast", lambda m: (m - red.reduce(m, "mean", 0)).map(lambda v: F.round(v, 5)), "SELECT i0, i1, round(v - avg(v) OVER (PARTITION BY i1), 5) AS v FROM m"),
     ("trace", lambda m: red.trace(m).map(lambda v: F.round(v, 5)), "SELECT round(sum(v), 5) AS v FROM m WHERE i0 = i1"), ("cov", lambda m: red.cov(m, rowvar=False).map(lambda v: F.round(v, 6)), "SELECT a.i1 AS i0, b.i1 AS i1, round(covar_samp(a.v, b.v), 6) AS v FROM m a JOIN m b USING (i0) GROUP BY 1, 2"), ("corrcoef", lambda m: red.corrcoef(m, rowvar=False).map(lambda v: F.round(v, 6)), "SELECT a.i1 AS i0, b.i1 AS i1, round(corr(a.v, b.v), 6) AS v FROM m a JOIN m b USING (i0) GROUP BY 1, 2"),
     ("argwhere", lambda m: order.argwhere((m > 2.5).astype("int64")), "SELECT row_number() OVER (PARTITION BY k ORDER BY i0, i1) - 1 AS i0, k AS i1, CASE k WHEN 0 THEN i0 ELSE i1 END AS v FROM m, (VALUES (0::BIGINT), (1)) x(k) WHERE v > 2.5"), ("apply_mask", lambda m: m[m > 2.5], "SELECT row_number() OVER (ORDER BY i0, i1) - 1 AS i0, v FROM m WHERE v > 2.5"),
     ("softmax", lambda m: _softmax(m).map(lambda v: F.round(v, 6)), "SELECT i0, i1, round(exp(v) / sum(exp(v)) OVER (PARTITION BY i0), 6) AS v FROM m"), ("take_along_axis", lambda m: order.take_along_axis(m, order.argsort(m, 1)[:, :3], 1), "SELECT i0, i1, v FROM (SELECT i0, row_number() OVER (PARTITION BY i0 ORDER BY v, i1) - 1 AS i1, v FROM m) WHERE i1 < 3"),
-    ("put", lambda m: m[:3].put([slice(0, 2), 1], 9.0), "SELECT i0, i1, CASE WHEN i0 < 2 AND i1 = 1 THEN 9.0 ELSE v END AS v FROM m WHERE i0 < 3"), ("cross", lambda m: con.cross(m[:, :3], m[:, 3:6]).map(lambda v: F.round(v, 6)), "SELECT vec_id AS i0, CAST(k AS BIGINT) AS i1, round(e[(k + 1) % 3 + 1] * e[(k + 2) % 3 + 4] - e[(k + 2) % 3 + 1] * e[(k + 1) % 3 + 4], 6) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), (VALUES (0), (1), (2)) x(k)"),
+    ("cross", lambda m: con.cross(m[:, :3], m[:, 3:6]).map(lambda v: F.round(v, 6)), "SELECT vec_id AS i0, CAST(k AS BIGINT) AS i1, round(e[(k + 1) % 3 + 1] * e[(k + 2) % 3 + 4] - e[(k + 2) % 3 + 1] * e[(k + 1) % 3 + 4], 6) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), (VALUES (0), (1), (2)) x(k)"),
     ("masked_mean_axis", lambda m: masked.MaskedArray(m, m > 1.0).mean(0).data.map(lambda v: F.round(v, 6)), "SELECT i1 AS i0, round(avg(v) FILTER (v <= 1), 6) AS v FROM m GROUP BY i1"), ("masked_compressed", lambda m: masked.MaskedArray(m, m <= 2.5).compressed(), "SELECT row_number() OVER (ORDER BY i0, i1) - 1 AS i0, v FROM m WHERE v > 2.5"),
 ):
     QUERIES[_name] = lambda spark, sf_dir, f=_f: f(_matrix(spark, sf_dir)).df
     ORACLES[_name] = f"WITH m AS ({_M}) {_sql}"
 
 
-# the same operators as above over every row; those of pairs of rows take the rows with a vec_id divisible by 100 against all, pdist all pairs
+# operators of pairs of rows take the rows with a vec_id divisible by 100 against all, pdist all pairs
 _N = "(SELECT max(vec_id) + 1 FROM embeddings)"
 _QUERY = "(SELECT i0 // 100 AS i0, i1, v FROM m WHERE i0 % 100 = 0)"
 for _name, _f, _sql in (
@@ -355,8 +361,8 @@ for _name, _f, _sql in (
     ("cdist", lambda m: con.cdist(m[::100], m).map(lambda v: F.round(v, 5)), f"SELECT a.i0, b.i0 AS i1, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 5) AS v FROM {_QUERY} a JOIN m b USING (i1) GROUP BY 1, 2"),
     ("pdist", lambda m: con.pdist(m, "chebyshev").map(lambda v: F.round(v, 5)), f"SELECT {_N} * a.i0 - a.i0 * (a.i0 + 1) // 2 + b.i0 - a.i0 - 1 AS i0, round(max(abs(a.v - b.v)), 5) AS v FROM m a JOIN m b USING (i1) WHERE a.i0 < b.i0 GROUP BY a.i0, b.i0"),
 ):
-    QUERIES[f"{_name}_whole"] = lambda spark, sf_dir, f=_f: f(_matrix(spark, sf_dir)).df
-    ORACLES[f"{_name}_whole"] = f"WITH m AS ({_M}) {_sql}"
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: f(_matrix(spark, sf_dir)).df
+    ORACLES[_name] = f"WITH m AS ({_M}) {_sql}"
 
 
 def _softmax(m: SparkArray) -> SparkArray:
@@ -370,13 +376,107 @@ def _gram(m: SparkArray) -> SparkArray:
     return con.matmul(m.transpose(), m)
 
 
-# kernels and generators: no SQL form, or rows only. Square operators take the Gram matrix of all rows; det a mean of rows, as its power of 64 leaves the doubles
-for _name, _f in (
-    ("fft", lambda m: ker.fft(m)), ("ifft", lambda m: ker.ifft(m)), ("rfft", lambda m: ker.rfft(m)), ("irfft", lambda m: ker.irfft(ker.rfft(m))), ("fft2", lambda m: ker.fft2(m)), ("inv", lambda m: ker.inv(_gram(m))), ("det", lambda m: ker.det(_gram(m).map(lambda v: v / m.shape[0]))), ("slogdet", lambda m: ker.slogdet(_gram(m))[1]), ("solve", lambda m: ker.solve(_gram(m), m.transpose())),
-    ("eig", lambda m: ker.eig(_gram(m))[0]), ("eigh", lambda m: ker.eigh(con.matmul(m.transpose(), m))[0]), ("cholesky", lambda m: ker.cholesky(con.matmul(m.transpose(), m))), ("qr", lambda m: ker.qr(m)[1]), ("svd", lambda m: ker.svd(m)[1]), ("pinv", lambda m: ker.pinv(m)), ("lstsq", lambda m: ker.lstsq(m[:, :63], m[:, 63])[0]),
-    ("lu", lambda m: ker.lu(_gram(m))[2]), ("hessenberg", lambda m: ker.hessenberg(_gram(m))[0]), ("schur", lambda m: ker.schur(_gram(m))[0]), ("matrix_power", lambda m: con.matrix_power(_gram(m), 3)), ("permutation", lambda m: rnd.permutation(m, 7)), ("fftshift", lambda m: ker.fftshift(m, 1)),
+# transforms: each row's sums of products with the roots of unity, in SQL
+def _parts(a: SparkArray) -> DataFrame:
+    """Real and imaginary parts, without negative zeros."""
+    return a.df.select(*a.index, (F.round("v.re", 5) + 0.0).alias("re"), (F.round("v.im", 5) + 0.0).alias("im"))
+
+
+def _real(a: SparkArray, digits: int = 5) -> DataFrame:
+    return a.map(lambda v: F.round(v, digits) + 0.0).df
+
+
+def _complex(m: SparkArray) -> SparkArray:
+    """The matrix with its mirror image as imaginary part."""
+    return m.binary(m.flip(1), u.complex, "complex128")
+
+
+_TURN = "2 * pi() * ((i1 * k) % 64) / 64"
+_DFT = f"SELECT i0, k AS i1, sum(v * cos({_TURN})) AS re, -sum(v * sin({_TURN})) AS im FROM m, range(64) x(k) GROUP BY 1, 2"
+_TURN_DOWN = f"2 * pi() * ((i0 * k) % {_N}) / {_N}"
+for _name, _f, _sql in (
+    ("fft", lambda m: _parts(ker.fft(m)), f"SELECT i0, i1, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM ({_DFT})"),
+    ("ifft", lambda m: _parts(ker.ifft(m)), f"SELECT i0, i1, round(re / 64, 5) + 0.0 AS re, round(-im / 64, 5) + 0.0 AS im FROM ({_DFT})"),
+    ("rfft", lambda m: _parts(ker.rfft(m)), f"SELECT i0, i1, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM ({_DFT}) WHERE i1 <= 32"),
+    ("irfft", lambda m: _real(ker.irfft(ker.rfft(m))), "SELECT i0, i1, round(v, 5) + 0.0 AS v FROM m"),
+    ("fft2", lambda m: _parts(ker.fft2(m)), f"""SELECT k AS i0, i1, round(sum(re * cos({_TURN_DOWN}) + im * sin({_TURN_DOWN})), 5) + 0.0 AS re,
+ round(sum(im * cos({_TURN_DOWN}) - re * sin({_TURN_DOWN})), 5) + 0.0 AS im FROM ({_DFT}), range({_N}) x(k) GROUP BY 1, 2"""),
+    ("complex_matmul", lambda m: _parts(con.matmul(_complex(m).transpose(), _complex(m))), """SELECT a.i1 AS i0, b.i1 AS i1, round(sum(a.v * b.v - a.w * b.w), 5) + 0.0 AS re, round(sum(a.v * b.w + a.w * b.v), 5) + 0.0 AS im
+ FROM z a JOIN z b USING (i0) GROUP BY 1, 2"""),
+    ("complex_sum", lambda m: _parts(red.reduce(_complex(m), "sum", 0)), "SELECT i1 AS i0, round(sum(v), 5) + 0.0 AS re, round(sum(w), 5) + 0.0 AS im FROM z GROUP BY i1"),
+    ("complex_mean", lambda m: _parts(red.reduce(_complex(m), "mean", 1, True)), "SELECT i0, 0::BIGINT AS i1, round(avg(v), 5) + 0.0 AS re, round(avg(w), 5) + 0.0 AS im FROM z GROUP BY i0"),
+    ("complex_einsum", lambda m: _parts(con.einsum("ij,ij->i", _complex(m), m)), "SELECT i0, round(sum(v * v), 5) + 0.0 AS re, round(sum(w * v), 5) + 0.0 AS im FROM z GROUP BY i0"),
+    ("fftshift", lambda m: ker.fftshift(m, 1).df, "SELECT i0, (i1 + 32) % 64 AS i1, v FROM m"),
 ):
-    QUERIES[_name] = lambda spark, sf_dir, f=_f: f(_matrix(spark, sf_dir)).df
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: f(_matrix(spark, sf_dir))
+    ORACLES[_name] = f"WITH m AS ({_M}), z AS (SELECT a.i0, a.i1, a.v, b.v AS w FROM m a JOIN m b ON a.i0 = b.i0 AND a.i1 = 63 - b.i1) {_sql}"
+
+
+# decompositions of the whole matrix or of its mean product of columns (g): what their factors give when multiplied, in SQL
+def _mean_gram(m: SparkArray) -> SparkArray:
+    return _gram(m).map(lambda v: v / m.shape[0])
+
+
+def _rebuilt_svd(m: SparkArray) -> SparkArray:
+    _, s, v = ker.svd(m)
+    scaled = v * s.reshape(-1, 1)
+    return con.matmul(scaled.transpose(), scaled).map(lambda v: v / m.shape[0])
+
+
+def _rebuilt_qr(m: SparkArray) -> SparkArray:
+    r = ker.qr(m)[1]
+    return con.matmul(r.transpose(), r).map(lambda v: v / m.shape[0])
+
+
+def _rebuilt_eigh(m: SparkArray) -> SparkArray:
+    w, v = ker.eigh(_mean_gram(m))
+    return con.matmul(v * w.reshape(1, -1), v.transpose())
+
+
+def _rebuilt_cholesky(m: SparkArray) -> SparkArray:
+    low = ker.cholesky(_mean_gram(m))
+    return con.matmul(low, low.transpose())
+
+
+def _rebuilt_hessenberg(m: SparkArray) -> SparkArray:
+    h, q = ker.hessenberg(_mean_gram(m))
+    return con.multi_dot([q, h, q.transpose()])
+
+
+def _fitted(m: SparkArray) -> SparkArray:
+    """The normal equations' left side at the least-squares solution of the last column by the others."""
+    x = ker.lstsq(m[:, :63], m[:, 63])[0]
+    return con.matmul(con.matmul(m[:, :63].transpose(), m[:, :63]), x)
+
+
+def _moments(values: SparkArray) -> DataFrame:
+    return values.df.agg(F.round(F.sum("v.re"), 5).alias("s1"), F.round(F.sum(F.col("v.re") * F.col("v.re")), 5).alias("s2"))
+
+
+_G = f"m AS ({_M}), g AS (SELECT a.i1 AS i0, b.i1 AS i1, sum(a.v * b.v) / {_N} AS v FROM m a JOIN m b USING (i0) GROUP BY 1, 2)"
+_GRAM_SQL = "SELECT i0, i1, round(v, 6) + 0.0 AS v FROM g"
+_MOMENTS_SQL = "SELECT round(sum(v) FILTER (i0 = i1), 5) AS s1, round(sum(v * v), 5) AS s2 FROM g"
+#: Gaussian elimination without exchanges, as the matrix is positive definite: step k leaves the rows and columns beyond it.
+_PIVOTS = """p(k, i, j, v) AS (SELECT 0::BIGINT, i0, i1, v FROM g UNION ALL
+ SELECT a.k + 1, a.i, a.j, a.v - b.v * c.v / d.v FROM p a JOIN p b ON b.i = a.i AND b.j = a.k JOIN p c ON c.i = a.k AND c.j = a.j JOIN p d ON d.i = a.k AND d.j = a.k
+ WHERE a.i > a.k AND a.j > a.k)"""
+for _name, _f, _sql in (
+    ("qr", lambda m: _real(_rebuilt_qr(m), 6), _GRAM_SQL), ("svd", lambda m: _real(_rebuilt_svd(m), 6), _GRAM_SQL), ("eigh", lambda m: _real(_rebuilt_eigh(m), 6), _GRAM_SQL),
+    ("cholesky", lambda m: _real(_rebuilt_cholesky(m), 6), _GRAM_SQL), ("lu", lambda m: _real(con.multi_dot(list(ker.lu(_mean_gram(m)))), 6), _GRAM_SQL),
+    ("hessenberg", lambda m: _real(_rebuilt_hessenberg(m), 6), _GRAM_SQL),
+    ("eig", lambda m: _moments(ker.eig(_mean_gram(m))[0]), _MOMENTS_SQL), ("schur", lambda m: _moments(shaping.diagonal(ker.schur(_mean_gram(m))[0])), _MOMENTS_SQL),
+    ("inv", lambda m: _real(con.matmul(_mean_gram(m), ker.inv(_mean_gram(m))), 6), "SELECT i0, i1, (i0 = i1)::INT::DOUBLE AS v FROM g"),
+    ("solve", lambda m: _real(con.matmul(_mean_gram(m), ker.solve(_mean_gram(m), m.transpose()))), "SELECT i1 AS i0, i0 AS i1, round(v, 5) + 0.0 AS v FROM m"),
+    ("pinv", lambda m: _real(con.multi_dot([m, ker.pinv(m), m])), "SELECT i0, i1, round(v, 5) + 0.0 AS v FROM m"),
+    ("lstsq", lambda m: _real(_fitted(m), 4), f"SELECT i0, round(v * {_N}, 4) + 0.0 AS v FROM g WHERE i1 = 63 AND i0 < 63"),
+    ("det", lambda m: ker.det(_mean_gram(m)).map(lambda v: F.round(F.log(v), 6)).df, "SELECT round(sum(ln(v)), 6) AS v FROM p WHERE i = k AND j = k"),
+    ("slogdet", lambda m: ker.slogdet(_mean_gram(m))[1].map(lambda v: F.round(v, 6)).df, "SELECT round(sum(ln(v)), 6) AS v FROM p WHERE i = k AND j = k"),
+    ("matrix_power", lambda m: _real(con.matrix_power(_mean_gram(m), 3), 6), "SELECT a.i0, c.i1, round(sum(a.v * b.v * c.v), 6) + 0.0 AS v FROM g a JOIN g b ON a.i1 = b.i0 JOIN g c ON b.i1 = c.i0 GROUP BY 1, 2"),
+):
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: f(_matrix(spark, sf_dir))
+    ORACLES[_name] = f"WITH RECURSIVE {_G}{', ' + _PIVOTS if ' FROM p ' in _sql else ''} {_sql}"
+
+QUERIES["permutation"] = lambda spark, sf_dir: rnd.permutation(_matrix(spark, sf_dir), 7).df
 
 for _name, _f, _sql in (
     ("linspace", lambda s: shaping.linspace(s, 0.0, 1.0, 11), "SELECT range AS i0, round(range / 10.0, 9) AS v FROM range(11)"), ("logspace", lambda s: shaping.logspace(s, 0.0, 3.0, 4), "SELECT range AS i0, round(pow(10, range), 9) AS v FROM range(4)"), ("geomspace", lambda s: shaping.geomspace(s, 1.0, 256.0, 9), "SELECT range AS i0, round(pow(2, range), 9) AS v FROM range(9)"),
@@ -399,15 +499,28 @@ def polyfit(spark, sf_dir):
     return spark.createDataFrame([(round(a, 4), round(b, 4))], "a double, b double")
 
 
-@query("roots")
+@query("roots", "SELECT vec_id, len(embedding)::INT - 1 AS n, len(embedding)::INT - 1 AS near FROM embeddings")
 def roots(spark, sf_dir):
-    return ker.roots(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("c")), "c")
+    """The roots of each row's polynomial, and how many of them bring it near 0, beside the sum of its terms' sizes."""
+    found = ker.roots(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("c")), "c")
+
+    def value(z):
+        zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"), F.lit(0.0).alias("size"))
+        size = F.hypot(z["re"], z["im"])
+        return F.aggregate("c", zero, lambda s, x: F.struct(
+            (s["re"] * z["re"] - s["im"] * z["im"] + x).alias("re"), (s["re"] * z["im"] + s["im"] * z["re"]).alias("im"), (s["size"] * size + F.abs(x)).alias("size")
+        ))
+
+    near = F.filter(F.transform("roots", value), lambda p: F.hypot(p["re"], p["im"]) <= 1e-9 * p["size"])
+    return found.select("vec_id", F.size("roots").alias("n"), F.size(near).alias("near"))
 
 
-@query("irr")
+@query("irr", "SELECT vec_id, 0.0::DOUBLE AS npv FROM embeddings")
 def irr(spark, sf_dir):
+    """The present value of each row's flows at its rate of return: 0."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.array(F.lit(-10.0)), F.transform("embedding", lambda x: F.abs(x).cast("double"))).alias("c"))
-    return ker.irr(e, "c")
+    worth = F.aggregate(F.reverse("c"), F.lit(0.0), lambda s, x: s / (1 + F.col("irr")) + x)
+    return ker.irr(e, "c").select("vec_id", (F.round(worth, 6) + 0.0).alias("npv"))
 
 
 @query("tuner")
@@ -416,3 +529,63 @@ def tuned(spark, sf_dir):
     return tuner.track(frames, 8192)
 
 
+# files: what comes back from the shared folder, where the master sees it as a path
+def _file(spark, name: str) -> str:
+    folder = storage.shared_dir(spark).removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    return os.path.join(folder, f"{uuid.uuid4().hex}-{name}")
+
+
+def _column_means(spark, sf_dir) -> SparkArray:
+    return red.reduce(_matrix(spark, sf_dir), "mean", 0)
+
+
+_MEANS = f"SELECT i1 AS i0, round(avg(v), 6) + 0.0 AS v FROM ({_M}) GROUP BY i1"
+
+
+@query("npy", f"SELECT i0, i1, round(v, 6) + 0.0 AS v FROM ({_M})")
+def npy(spark, sf_dir):
+    path = _file(spark, "m.npy")
+    files.save(path, _matrix(spark, sf_dir))
+    return matrix_queries.rounded(files.load(spark, path), 6)
+
+
+@query("npz", _MEANS)
+def npz(spark, sf_dir):
+    path = _file(spark, "m.npz")
+    files.savez(path, {"means": _column_means(spark, sf_dir)}, compressed=True)
+    return matrix_queries.rounded(files.loadz(spark, path)["means"], 6)
+
+
+@query("safetensors", _MEANS)
+def safetensors(spark, sf_dir):
+    path = _file(spark, "m.safetensors")
+    files.save_safetensors_file(path, {"means": _column_means(spark, sf_dir)})
+    return matrix_queries.rounded(files.load_safetensors_file(spark, path)["means"], 6)
+
+
+# solvers of functions, on the driver
+def _bowl(x) -> float:
+    return float((x[0] - 1) ** 2 + 2 * (x[1] + 2) ** 2)
+
+
+def _bowl_slope(x) -> list[float]:
+    return [2 * (x[0] - 1), 4 * (x[1] + 2)]
+
+
+for _name, _f, _sql in (
+    ("brentq", lambda: [optimize.brentq(lambda x: x**3 - 2, 0.0, 2.0)], "round(cbrt(2.0), 8)"),
+    ("newton", lambda: [optimize.newton(lambda x: x**3 - 2, 1.0, lambda x: 3 * x * x)], "round(cbrt(2.0), 8)"),
+    ("root_scalar", lambda: [optimize.root_scalar(lambda x: math.cos(x), "brentq", (1.0, 2.0))], "round(pi() / 2, 8)"),
+):
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: spark.createDataFrame([tuple(round(float(x), 8) for x in f())], "v double")
+    ORACLES[_name] = f"SELECT {_sql}::DOUBLE AS v"
+for _name, _f in (
+    ("nelder_mead", lambda: optimize.nelder_mead(_bowl, [0.0, 0.0], 1e-8, 1e-12)), ("lbfgs", lambda: optimize.lbfgs(_bowl, [0.0, 0.0], _bowl_slope)),
+    ("minimize", lambda: optimize.minimize(_bowl, [0.0, 0.0], "lbfgs", _bowl_slope)),
+):
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: spark.createDataFrame([tuple(round(float(x), 3) for x in f()[0])], "x double, y double")
+    ORACLES[_name] = "SELECT 1.0::DOUBLE AS x, -2.0::DOUBLE AS y"
+
+
+matrix_queries.register(QUERIES, ORACLES, _matrix, _M)
