@@ -276,7 +276,7 @@ def trapz(spark, sf_dir):
     return scans.trapz(_events(spark, sf_dir)).df.select(F.round("v", 3).alias("v"))
 
 
-@query("unwrap", f"SELECT i0, round(i0 * 2.5, 6) AS v FROM ({_E})")
+@query("unwrap", f"SELECT i0, round(i0 * 2.5::DOUBLE, 6) AS v FROM ({_E})")
 def unwrap(spark, sf_dir):
     e = _events(spark, sf_dir)
     return scans.unwrap(SparkArray(e.df.select("i0", (F.col("i0") * 2.5 - 2 * math.pi * F.floor(F.col("i0") * 2.5 / (2 * math.pi))).alias("v")), e.shape)).df.select("i0", F.round("v", 6).alias("v"))
